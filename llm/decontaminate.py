@@ -146,7 +146,7 @@ def annotate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
     if mark in documents.columns:
         raise ValueError(f"the documents have a column {mark} already")
     kind = T.StructType().add("n_words", "long").add("hits", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
-    out, first = documents, True
+    out, first, columns = documents, True, documents.columns
     schema = T.StructType([*documents.schema.fields, T.StructField(mark, kind)])
 
     def step(shared, again: bool):
@@ -173,7 +173,7 @@ def annotate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     hits = [sorted({*b["hits"], *h}) for b, h in zip(before, hits)]
                     items = [sorted({*b["items"], *x}) for b, x in zip(before, items)]
                 made = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["n_words", "hits", "items"])
-                keep = {c: batch.column(c) for c in documents.columns}
+                keep = {c: batch.column(c) for c in columns}
                 yield pa.RecordBatch.from_arrays([*keep.values(), made], names=[*keep, mark])
 
         return run
