@@ -135,6 +135,42 @@ class Words:
         return mix(out + np.uint64(k))
 
 
+#: Most bits of an id filter (32 MB); with more ids it lets more others through.
+FILTER_BITS = 1 << 28
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of one hash over a frame of longs `id`: at most FILTER_BITS bits come to the driver."""
+    n = ids.count()
+    bits = min(FILTER_BITS, 1 << max(10, (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("id"), F.lit(bits))
+    cells = ids.select(place.alias("p")).groupBy(F.floor(F.col("p") / 64).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p % 64 as int))")).alias("b"))
+    got = cells.toArrow()
+    out = np.zeros(bits // 64, np.int64)
+    out[got["w"].to_numpy()] = got["b"].to_numpy()
+    return out
+
+
+def in_filter(cells: np.ndarray, ids: pa.Array) -> np.ndarray:
+    """Which ids a filter may hold."""
+    p = spark_hash(np.asarray(ids)) % np.int64(len(cells) * 64)
+    return (cells[p >> 6] >> (p & 63)) & 1 == 1
+
+
+def spark_hash(x: np.ndarray) -> np.ndarray:
+    """Spark's xxhash64 of longs (XXH64 of their eight bytes, seed 42)."""
+    p1, p2, p3, p4, p5 = (np.uint64(v) for v in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    turn = lambda v, r: v << np.uint64(r) | v >> np.uint64(64 - r)
+    h = np.uint64(42) + p5 + np.uint64(8) ^ turn(x.astype(np.int64).view(np.uint64) * p2, 31) * p1
+    h = turn(h, 27) * p1 + p4
+    h ^= h >> np.uint64(33)
+    h *= p2
+    h ^= h >> np.uint64(29)
+    h *= p3
+    h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of longs -> (id, label), label the smallest id reachable.
 

@@ -9,8 +9,8 @@ are leaves; larger ones branch on, up to `DEPTH` levels.  At J = 0.8 a pair is
 missed by all trees with probability 0.2^12 on the first level and 0.49^12 on the
 third.
 
-Leaves are compared exhaustively on sketches (64 one-permutation bins, a threshold
-six standard deviations below the wanted similarity); what passes is confirmed on
+Leaves are compared exhaustively on sketches (128 one-permutation bins, a threshold
+five standard deviations below the wanted similarity); what passes is confirmed on
 full sets.  Leaves over `BLOCK` members are cut into blocks, and pairs of blocks
 compared, so that no task holds a whole group.  The first round emits a spanning
 forest of each block's candidate graph, the second all candidates between
@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, components, lookup, mix, steps, texts, written
+from .common import Words, arrow_map, components, id_filter, in_filter, lookup, mix, steps, texts, written
 
-TREES, DEPTH, SMALL, BLOCK, BINS = 12, 3, 64, 2048, 64
+TREES, DEPTH, SMALL, BLOCK, BINS = 12, 3, 64, 2048, 128
 #: Confirmations of one text that share a task.
 SHARE = 256
 
@@ -75,7 +75,7 @@ def _features(k: int):
                 s2[full] = np.add.reduceat(mix(tokens * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(7)), heads)
                 # the first token of each bin of the sorted set; 0 is an empty bin
                 owner = np.repeat(np.arange(len(full)), sizes)
-                cell = owner * BINS + (tokens >> np.uint64(58)).astype(np.int64)
+                cell = owner * BINS + (tokens >> np.uint64(57)).astype(np.int64)
                 lead = np.concatenate([[True], cell[1:] != cell[:-1]])
                 flat = np.zeros(len(full) * BINS, np.uint8)
                 flat[cell[lead]] = 1 + (mix(tokens[lead]) % np.uint64(255)).astype(np.uint8)
@@ -102,8 +102,11 @@ def _features(k: int):
     return run
 
 
-def _sets(k: int):
-    def run(batch: pa.RecordBatch) -> dict:
+def _sets(k: int, chosen):
+    def run(batch: pa.RecordBatch) -> dict | None:
+        batch = batch.filter(pa.array(in_filter(chosen.value, batch.column("id"))))
+        if not batch.num_rows:
+            return None
         raw, offsets = texts(batch.column("text"))
         out: list[bytes] = []
         for lo, hi in steps(offsets):
@@ -115,25 +118,25 @@ def _sets(k: int):
 
 
 def _leaves(reps: DataFrame) -> DataFrame:
-    """(key, id, n, sketch) of every leaf with two members or more."""
+    """(key, members, id, n, sketch) of every leaf with two members or more."""
     at = lambda d: F.col("path")[F.col("tree") * DEPTH + d].alias(f"k{d}")
-    rows = reps.select("id", "n", "sketch", "path", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", "n", "sketch", *map(at, range(DEPTH)))
+    rows = reps.select("id", "path", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree")).select("id", *map(at, range(DEPTH)))
     found = []
     for d in range(DEPTH):
         count = rows.groupBy(f"k{d}").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         rows = rows.join(count, f"k{d}")
         small = rows if d == DEPTH - 1 else rows.where(F.col("c") <= SMALL)
-        found.append(small.select(F.col(f"k{d}").alias("key"), F.col("c").alias("members"), "id", "n", "sketch"))
+        found.append(small.select(F.col(f"k{d}").alias("key"), F.col("c").alias("members"), "id"))
         rows = rows.where(F.col("c") > SMALL).drop("c")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
-    return out
+    return out.join(reps.select("id", "n", "sketch"), "id")
 
 
 def _compare(share: float, every: bool):
     """Candidate pairs of each block: a spanning forest over components, or every pair between them."""
-    cut = lambda n: share - 6 * np.sqrt(share * (1 - share) / np.maximum(n, 1))
+    cut = lambda n: share - 5 * np.sqrt(share * (1 - share) / np.maximum(n, 1))
 
     def block(x: pa.Table) -> list[tuple[int, int]]:
         ids = x["id"].to_numpy()
@@ -247,7 +250,9 @@ def _confirm(percent: int):
 def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b, ok): pairs held against full sets.  A text of many pairs is sent once to each task that has some."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    sets = written(arrow_map(docs.join(wanted, "id", "left_semi"), _sets(k), "id long, tokens binary"), "sets")
+    # texts stay where they are: a filter of bounded size tells which to make sets of
+    chosen = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
+    sets = written(arrow_map(docs.where("id is not null"), _sets(k, chosen), "id long, tokens binary"), "sets")
     count = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / SHARE).cast("int").alias("shares"))
     dealt = pairs.join(count, "a").withColumn("share", F.pmod(F.xxhash64("b"), F.col("shares")).cast("int"))
     left = dealt.select("a", "share").distinct().join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
