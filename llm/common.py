@@ -130,7 +130,7 @@ class Words:
         """Hash of the k words from each word on; the last k-1 of a text reach past its end."""
         n = len(self.hash)
         out = np.zeros(n, np.uint64)
-        for j in range(k):
+        for j in range(min(k, n)):
             out[: n - j] += self.hash[j:] * np.uint64((0xD1342543DE82EF95 ** (j + 1)) % (1 << 64) | 1)
         return mix(out + np.uint64(k))
 

@@ -60,7 +60,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
         bound = max(least, int(np.partition(counts, -2 * most)[-2 * most]))
         at = np.flatnonzero((counts >= bound)[cell] & inner)
         keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        order = np.argsort(keys, kind="stable")
+        order = np.argsort(keys)
         sorted_keys = keys[order]
         lead = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, int)
         size = np.diff(np.concatenate([lead, [len(keys)]]))

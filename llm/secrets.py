@@ -90,12 +90,9 @@ def _found(text: Column, pattern: str, group: int, least: int, kind: int) -> Col
 def _ratio(token: Column, table: Column) -> Column:
     """Sum of the log-likelihood ratios of the token's character pairs."""
     n = len(ALPHABET)
-    code = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    return F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        F.lit(0.0).cast("double"),
-        lambda s, i: s + F.element_at(table, (F.expr("0") + code(i) - 1) * n + code(i + 1)),
-    )
+    codes = F.transform(F.split(token, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = F.zip_with(F.slice(codes, F.lit(1), F.length(token) - 1), F.slice(codes, F.lit(2), F.length(token) - 1), lambda x, y: F.element_at(table, (x - 1) * n + y))
+    return F.aggregate(pairs, F.lit(0.0).cast("double"), lambda s, x: s + x)
 
 
 def annotate(documents: DataFrame, text_col: str = "text", sample: Iterable[tuple[str, bool]] | None = None) -> DataFrame:
