@@ -15,7 +15,10 @@ full sets.  Leaves over `BLOCK` members are cut into blocks, and pairs of blocks
 compared, so that no task holds a whole group.  The first round emits a spanning
 forest of each block's candidate graph, the second all candidates between
 components still apart, so a group of n near copies costs about n confirmations
-and no link between different components is lost.
+and no link between different components is lost.  A block with more than `DENSE`
+such candidates a member emits none: its leaf is dealt again, with full sets, in
+blocks of about `TOKENS` shingles, which are compared exactly where they are and
+emit a spanning forest of links.  So no step emits more than a few rows a member.
 
 Defined cases: null, empty or wordless texts have an empty set and link with
 nothing; rows with null ids take part in nothing and are components of none (null);
@@ -24,14 +27,17 @@ rows that repeat an id count as one vertex; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Words, arrow_map, components, id_filter, in_filter, lookup, mix, steps, texts, written
 
 TREES, DEPTH, SMALL, BLOCK, BINS = 12, 3, 64, 2048, 128
+DENSE, TOKENS = 4, 500_000
 #: Confirmations of one text that share a task.
 SHARE = 256
 
@@ -134,11 +140,44 @@ def _leaves(reps: DataFrame) -> DataFrame:
     return out.join(reps.select("id", "n", "sketch"), "id")
 
 
-def _compare(share: float, every: bool):
-    """Candidate pairs of each block: a spanning forest over components, or every pair between them."""
+def _by_block(work, schema: dict[str, pa.DataType]):
+    """Calls `work(table)` for each run of equal (key, p, q); it returns rows of `schema`."""
+
+    def run(batches):
+        held: list[pa.Table] = []
+
+        def flush(rows: pa.Table):
+            got = work(rows)
+            if got:
+                yield pa.RecordBatch.from_pydict({c: pa.array(v, t) for (c, t), v in zip(schema.items(), zip(*got))})
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch])
+            keys = np.stack([rows[c].to_numpy() for c in ("key", "p", "q")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                part = rows.slice(lo, hi - lo)
+                if held and any(held[-1][c][0] != part[c][0] for c in ("key", "p", "q")):
+                    yield from flush(pa.concat_tables(held))
+                    held = []
+                held.append(part)
+        if held:
+            yield from flush(pa.concat_tables(held))
+
+    return run
+
+
+def _compare(share: float, every: bool, dense: float):
+    """Candidates (a, b, key) of each block: a spanning forest over components, or every pair between them.
+
+    A block with too many of the latter gives one row (null, null, key).
+    """
     cut = lambda n: share - 5 * np.sqrt(share * (1 - share) / np.maximum(n, 1))
 
-    def block(x: pa.Table) -> list[tuple[int, int]]:
+    def block(x: pa.Table) -> list[tuple[int | None, int | None, int]]:
+        key = x["key"][0].as_py()
         ids = x["id"].to_numpy()
         n = x["n"].to_numpy()
         sk = np.frombuffer(b"".join(x["sketch"].to_pylist()), np.uint8).reshape(-1, BINS)
@@ -166,7 +205,9 @@ def _compare(share: float, every: bool):
             ok = alike >= cut(filled)
             js, alike = js[ok], alike[ok]
             if every:
-                pairs += [(int(ids[i]), int(ids[j])) for j in js]
+                pairs += [(int(ids[i]), int(ids[j]), key) for j in js]
+                if len(pairs) > dense * len(ids):
+                    return [(None, None, key)]
             elif len(js):
                 # one best pair for each component met keeps this linear
                 order = np.argsort(-alike, kind="stable")
@@ -176,7 +217,7 @@ def _compare(share: float, every: bool):
                 if len(found) > 50_000:
                     found = forest(found, comp, list(range(len(parent))))
         if not every:
-            pairs = [(int(ids[i]), int(ids[j])) for _, i, j in forest(found, comp, parent)]
+            pairs = [(int(ids[i]), int(ids[j]), key) for _, i, j in forest(found, comp, parent)]
         return pairs
 
     def forest(found, comp, parent):
@@ -193,46 +234,69 @@ def _compare(share: float, every: bool):
                 kept.append((s, i, j))
         return kept
 
-    def run(batches):
-        held: list[pa.Table] = []
+    return _by_block(block, {"a": pa.int64(), "b": pa.int64(), "key": pa.int64()})
 
-        def flush(rows: pa.Table):
-            got = block(rows)
-            if got:
-                a, b = zip(*got)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            keys = np.stack([rows[c].to_numpy() for c in ("key", "p", "q")])
-            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), rows.num_rows]
-            for lo, hi in zip(cuts[:-1], cuts[1:]):
-                part = rows.slice(lo, hi - lo)
-                if held and any(held[-1][c][0] != part[c][0] for c in ("key", "p", "q")):
-                    yield from flush(pa.concat_tables(held))
-                    held = []
-                held.append(part)
-        if held:
-            yield from flush(pa.concat_tables(held))
-
-    return run
 
+def _exact(percent: int):
+    """Links (a, b) of each block by full sets: a spanning forest over its components."""
 
-def _candidates(leaves: DataFrame, share: float, every: bool) -> DataFrame:
-    """Pairs of `leaves` (key, members, id, n, sketch, comp) worth a confirmation."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mixed = leaves.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    cast = leaves.join(mixed, "key").withColumn("blocks", blocks).withColumn("own", mine)
+    def block(x: pa.Table) -> list[tuple[int, int]]:
+        ids, side, n = x["id"].to_numpy(), x["side"].to_numpy(), x["n"].to_numpy()
+        names, comp, sizes = np.unique(x["comp"].to_numpy(), return_inverse=True, return_counts=True)
+        apart = side.any()
+        if len(names) == 1 or (apart and side.all()):
+            return []
+        tokens = np.frombuffer(b"".join(v.as_buffer() for v in x["tokens"].combine_chunks()), np.uint64)
+        codes = np.unique(tokens, return_inverse=True)[1]
+        at = np.concatenate([[0], np.cumsum(n)])
+        mark, out = np.zeros(int(codes.max()) + 1, bool), []
+        # one end of every pair is outside the largest component
+        for i in np.flatnonzero(comp != sizes.argmax()):
+            ok = (comp != comp[i]) & (100 * np.minimum(n, n[i]) >= percent * np.maximum(n, n[i]))
+            if apart:
+                ok &= side != side[i]
+            if not ok.any():
+                continue
+            mine = codes[at[i] : at[i + 1]]
+            mark[mine] = True
+            both = np.add.reduceat(mark[codes], at[:-1], dtype=np.int64)
+            mark[mine] = False
+            for j in np.flatnonzero(ok & (100 * both >= percent * (n + n[i] - both))):
+                if comp[j] != comp[i]:
+                    out.append((int(ids[i]), int(ids[j])))
+                    comp[comp == comp[j]] = comp[i]
+        return out
+
+    return _by_block(block, {"a": pa.int64(), "b": pa.int64()})
+
+
+def _dealt(leaves: DataFrame, blocks: Column, every: bool) -> DataFrame:
+    """`leaves` cut into `blocks`, in pairs of blocks (p, q); side tells which of the two a row is of."""
+    cast = leaves.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     # in a forest each block is held against itself and the first one only; at last against all others
     others = F.sequence(F.lit(0), F.col("blocks") - 1) if every else F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array_distinct(F.array(F.lit(0), F.col("own"))))
-    cast = cast.withColumn("other", F.explode(others)).select(
-        "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), "id", "n", "sketch", "comp"
+    return cast.withColumn("other", F.explode(others)).select(
+        "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), (F.col("own") > F.col("other")).cast("int").alias("side"), *[c for c in leaves.columns if c not in ("key", "members")]
     )
+
+
+def _candidates(leaves: DataFrame, share: float, every: bool, dense: float = DENSE) -> DataFrame:
+    """Pairs of `leaves` (key, members, id, n, sketch, comp) worth a confirmation, with their leaf's key; null pairs for dense leaves."""
+    mixed = leaves.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
+    cast = _dealt(leaves.join(mixed, "key"), F.ceil(F.col("members") / BLOCK).cast("int"), every)
     dealt = cast.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
-    return dealt.mapInArrow(_compare(share, every), "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return dealt.mapInArrow(_compare(share, every, dense), "a long, b long, key long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key").where("a is null or a <> b")
+
+
+def _linked(leaves: DataFrame, keys: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b) links between components of the leaves `keys`, compared on full sets."""
+    rows = written(leaves.join(keys, "key", "left_semi").select("key", "id", "n", "comp"), "dense")
+    chosen = docs.sparkSession.sparkContext.broadcast(id_filter(rows.select("id").distinct()))
+    sets = written(arrow_map(docs.where("id is not null"), _sets(k, chosen), "id long, tokens binary").where(F.octet_length("tokens") > 0), "sets")
+    sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / TOKENS).cast("int").alias("cuts"))
+    cast = _dealt(rows.join(sizes, "key"), F.col("cuts"), True).drop("cuts", "n")
+    full = cast.join(sets, "id").withColumn("n", F.octet_length("tokens") / 8).select("key", "p", "q", "side", "id", F.col("n").cast("long").alias("n"), "comp", "tokens")
+    return written(full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(_exact(percent), "a long, b long"), "links")
 
 
 def _confirm(percent: int):
@@ -260,7 +324,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return written(arrow_map(right.join(left, ["a", "share"]).select("a", "b", "x", "y"), _confirm(percent), "a long, b long, ok boolean"), "confirmed")
 
 
-def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80) -> DataFrame:
+def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, dense: float = DENSE) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (smallest id linked), kept."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     share = percent / 100
@@ -269,14 +333,20 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     classes = written(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
     reps = full.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"])
     leaves = written(_leaves(reps), "leaves")
-    first = written(_candidates(leaves.withColumn("comp", F.col("id")), share, False), "pairs")
-    done = _verified(first, docs, k, percent)
-    labels = components(done.where("ok"))
+    first = written(_candidates(leaves.withColumn("comp", F.col("id")), share, False).select("a", "b").distinct(), "pairs")
+    done = _verified(first, docs, k, percent).where("ok").select("a", "b")
+    labels = components(done)
     known = leaves.join(labels, "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
-    more = written(_candidates(known, share, True).join(first, ["a", "b"], "left_anti"), "pairs")
+    last = written(_candidates(known, share, True, dense), "pairs")
+    crowded = last.where("a is null").select("key").distinct()
+    more = last.where("a is not null").select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
+    found = []
     if not more.isEmpty():
-        done = done.union(_verified(more, docs, k, percent))
-        labels = components(done.where("ok"))
+        found.append(_verified(more, docs, k, percent).where("ok").select("a", "b"))
+    if not crowded.isEmpty():
+        found.append(_linked(known, crowded, docs, k, percent))
+    if found:
+        labels = components(functools.reduce(DataFrame.union, found, done))
     member = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("comp"))
     # an id that repeats with other texts links its classes too
     out = feats.join(member, ["n", "s1", "s2"], "left").select(

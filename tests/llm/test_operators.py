@@ -84,6 +84,26 @@ def test_packing(docs, empty, ids):
     assert set(p.doc_id) == set(ids) and packing.pack(empty, PATH).count() == 0
 
 
+def test_near_duplicates_in_dense_groups(spark):
+    """Copies of one text, each changed in some words: links of a group that is not one component."""
+    r, base, rows = random.Random(5), words(120, 9).split(), []
+    for i in range(150):
+        w = list(base)
+        for j in r.sample(range(len(w)), r.randint(0, 9)):
+            w[j] = f"x{r.randint(0, 3)}"
+        rows.append((i * 7 % 151, " ".join(w)))
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows}
+    near = {i: [j for j, y in sets.items() if 100 * len(x & y) >= 80 * len(x | y)] for i, x in sets.items()}
+    label = {i: i for i in sets}
+    for _ in sets:
+        label = {i: min(label[j] for j in near[i]) for i in sets}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for dense in (near_dedup.DENSE, 0):
+        got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(df, dense=dense).collect()}
+        assert got == label
+    assert 1 < len(set(label.values())) < len(rows)
+
+
 def test_near_duplicates(docs, empty, rows):
     got = {r["doc_id"]: r for r in near_dedup.near_duplicates(docs).collect()}
     assert {i: got[i]["component_id"] for i, _ in rows} == {**{i: i for i, _ in rows}, 2: 1, 3: 1, 8: 7}
