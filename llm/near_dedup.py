@@ -130,10 +130,11 @@ def _leaves(reps: DataFrame) -> DataFrame:
     found = []
     for d in range(DEPTH):
         count = rows.groupBy(f"k{d}").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
-        rows = rows.join(count, f"k{d}")
-        small = rows if d == DEPTH - 1 else rows.where(F.col("c") <= SMALL)
+        # written, so that a level is dealt out once and not again for every later one
+        nodes = written(rows.join(count, f"k{d}"), "nodes")
+        small = nodes if d == DEPTH - 1 else nodes.where(F.col("c") <= SMALL)
         found.append(small.select(F.col(f"k{d}").alias("key"), F.col("c").alias("members"), "id"))
-        rows = rows.where(F.col("c") > SMALL).drop("c")
+        rows = nodes.where(F.col("c") > SMALL).drop("c", f"k{d}")
     out = found[0]
     for x in found[1:]:
         out = out.union(x)
@@ -331,7 +332,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     feats = written(arrow_map(docs, _features(k), "id long, n long, s1 long, s2 long, sketch binary, path array<long>"), "features")
     full = feats.where("n > 0 and id is not null")
     classes = written(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    reps = full.join(classes.select(F.col("rep").alias("id"), "n", "s1", "s2"), ["id", "n", "s1", "s2"], "left_semi").dropDuplicates(["id"])
+    # by the id alone, so that a text's features are dealt out once; its class must be the same
+    same = (F.col("f.id") == F.col("c.rep")) & (F.col("f.s1").bitwiseXOR(F.col("c.s1")) == 0) & (F.col("f.s2").bitwiseXOR(F.col("c.s2")) == 0)
+    reps = full.alias("f").join(classes.alias("c"), same, "left_semi").dropDuplicates(["id"])
     leaves = written(_leaves(reps), "leaves")
     first = written(_candidates(leaves.withColumn("comp", F.col("id")), share, False).select("a", "b").distinct(), "pairs")
     done = _verified(first, docs, k, percent).where("ok").select("a", "b")
