@@ -12,7 +12,7 @@ record is followed by an empty member, which ends with 0.
 
 Defined cases: a null html is an empty payload (and equals other empty ones); a
 null page_id is written with a record id that says so and is read back as null; rows
-that repeat a page_id are written each; extra columns are ignored; an empty table
+that repeat a page_id are written each, by their own payloads; extra columns are ignored; an empty table
 gives files without records.
 """
 
@@ -121,8 +121,10 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     size = rows.agg(F.sum(F.col("size") + 500)).first()[0] or 0
     # keys of the groups only: one row a digest after partial aggregation
     last = rows.where(F.col("size") >= dedup_from).groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
-    known = rows.select("id", "digest").join(last, "digest").where("id <> last").select("id", "last").distinct()
-    whole = rows.join(known, "id", "left")
+    known = rows.select("id", "digest").join(last, "digest").where("id <> last").distinct()
+    # payloads are shuffled once, as the files need them; rows without an id are spread by their digest
+    files = max(1, -(-size // FILE_BYTES))
+    whole = rows.repartition(files, "id", "digest").join(known.repartition(files, "id", "digest"), ["id", "digest"], "left")
 
     def run(batch: pa.RecordBatch) -> dict:
         out = []
@@ -131,8 +133,7 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
             out.append(record(key.as_py(), url.as_py(), payload, sha1(payload), last.as_py())[:-1])
         return {"member": pa.array(out, pa.binary())}
 
-    files = max(1, -(-size // FILE_BYTES))
-    members_ = arrow_map(whole.repartition(files, "id", "url", F.length("html")), run, "member binary")
+    members_ = arrow_map(whole, run, "member binary")
     members_.select(F.col("member").cast("string").alias("value")).write.option("lineSep", "\u0000").option("compression", "none").text(path)
 
 

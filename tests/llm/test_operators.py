@@ -178,6 +178,9 @@ def test_warc(spark):
     assert (got[1]["record_type"], got[1]["refers_to"], got[1]["payload_bytes"]) == ("revisit", 2, 4)
     assert got[3]["refers_to"] == 4 and got[None]["payload_bytes"] == 6 and got[-5]["record_type"] == "response"
     assert warc.archive(pages.limit(0)).count() == 0
+    twice = spark.createDataFrame([(1, "u", "A"), (1, "u", "B"), (2, "v", "A"), (3, "w", "B"), (3, "w", "B")], "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["payload_digest"], r["refers_to"] or 0) for r in warc.archive(twice).collect())
+    assert got == sorted((i, warc.sha1(x), r) for i, x, r in ((1, b"A", 2), (1, b"B", 3), (2, b"A", 0), (3, b"B", 0), (3, b"B", 0)))
     member = warc.record(1, "u", b"p", warc.sha1(b"p"), None)
     assert [warc.parse(m)["payload"] for m in warc.members(member * 3)] == [b"p"] * 3
     with pytest.raises(ValueError):
