@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import os
 import re
+from itertools import compress, repeat
+from operator import is_
 
 import numpy as np
 
@@ -20,6 +22,8 @@ CACHE_ENTRIES = 1_000_000
 END_ID = 2
 
 _MARKS = re.compile("[̀-ͯ]")
+#: Signs that the vocabulary's pre-tokenizer cuts off a word as one run; the apostrophe begins contractions.
+_CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 _LAST_LATIN = "ɏ"
 
 
@@ -64,17 +68,20 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         cache = self.cache
-        tails, words, rest = [], {}, [t for t in ".," if t not in cache]
+        tails, words, rest = [], {}, set()
         for c in chunks:
-            stem = c[:-1] if c[-1] in ".," else c
-            if stem.isalpha() and max(stem) <= _LAST_LATIN and stem == stem.lower():
-                if stem is not c:
-                    tails.append(c)
+            stem = c.rstrip(_CLOSING)
+            if stem.isalpha() and (stem.isascii() or max(stem) <= _LAST_LATIN) and stem == stem.lower():
+                if len(stem) < len(c):
+                    tail = c[len(stem) :]
+                    tails.append((c, stem, tail))
+                    if tail not in cache:
+                        rest.add(tail)
                 if stem not in cache:
                     words[stem] = stem if stem.isascii() else "".join([_BYTES[b] for b in stem.encode()])
             else:
-                rest.append(c)
-        for key, e in zip(rest, self.whole.encode_batch_fast(rest, add_special_tokens=False)):
+                rest.add(c)
+        for key, e in zip(rest, self.whole.encode_batch_fast(list(rest), add_special_tokens=False)):
             cache[key] = np.array(e.ids, self.dtype).tobytes()
         if words:
             ids = np.array(self.words.encode_batch_fast([" ".join(words.values())], add_special_tokens=False)[0].ids, self.dtype)
@@ -85,8 +92,8 @@ class Encoder:
             for key, stop in zip(words, stops):
                 cache[key] = raw[at:stop]
                 at = stop
-        for c in tails:
-            cache[c] = cache[c[:-1]] + cache[c[-1]]
+        for c, stem, tail in tails:
+            cache[c] = cache[stem] + cache[tail]
 
     def encode(self, texts: list[str | None], end_id: int | None = None) -> list[np.ndarray]:
         """One id array per text, with `end_id` appended if given."""
@@ -95,14 +102,23 @@ class Encoder:
         for at in range(0, len(texts), 64):
             if len(self.cache) > self.limit:
                 self.cache = {"": b""}
-            get = self.cache.get
-            split = [self._chunks(t or "") for t in texts[at : at + 64]]
-            found = [list(map(get, words)) for words in split]
-            unseen = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+            get, join = self.cache.get, b"".join
+            raws: list[bytes | None] = []
+            lacking, unseen = [], set()
+            for text in texts[at : at + 64]:
+                words = self._chunks(text or "")
+                ids = list(map(get, words))
+                try:
+                    raws.append(join(ids))
+                except TypeError:  # a chunk is unseen
+                    lacking.append((len(raws), words))
+                    raws.append(None)
+                    unseen.update(compress(words, map(is_, ids, repeat(None))))
             if unseen:
                 self._learn(unseen)
-                found = [list(map(get, words)) if None in ids else ids for words, ids in zip(split, found)]
-            out += [np.frombuffer(b"".join(ids) + end, self.dtype) for ids in found]
+                for i, words in lacking:
+                    raws[i] = join(map(get, words))
+            out += [np.frombuffer(raw + end, self.dtype) for raw in raws]
         return out
 
 
