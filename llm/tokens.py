@@ -61,8 +61,9 @@ class Encoder:
 
     def _chunks(self, text: str) -> list[str]:
         # Lower-casing first only makes chunks meet in the cache; it is skipped
-        # where it could change what composes (combining marks, final sigma, dotted I).
-        if text.isascii() or not (_MARKS.search(text) or "Σ" in text or "İ" in text):
+        # where it could change what composes (combining marks, final sigma, dotted I)
+        # or make a special token of other text.
+        if "<|" not in text and (text.isascii() or not (_MARKS.search(text) or "Σ" in text or "İ" in text)):
             text = text.lower()
         return text.replace("\n", " ").split(" ")
 

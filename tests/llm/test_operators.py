@@ -53,6 +53,12 @@ def test_encoder_equals_library_and_survives_a_small_cache(rows, ids):
     assert [g.tolist() for g in got] == [ids[i] for i, _ in rows]
 
 
+def test_encoder_cuts_closing_signs_as_the_library_does():
+    text = "a-- b_ c;; d<| e\\ x'' y's. z'. w\". <|endoftext|>. q<|endoftext|> É!! ﬁ?? ß.. a.b. 1.. ^^ x^ é`` n~ o¨. co- -- a--. c;"
+    got = Encoder(PATH).encode([text, text.upper()])
+    assert [g.tolist() for g in got] == [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in (text, text.upper())]
+
+
 def test_token_ids_round_trip(spark, docs, empty, rows, ids):
     got = {r["doc_id"]: r for r in repair.token_ids(docs, PATH).collect()}
     at = 0
