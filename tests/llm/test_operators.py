@@ -171,6 +171,30 @@ def test_licenses(spark, empty):
     assert license_scan.scan(empty).count() == 0
 
 
+def test_licenses_inside_longer_texts(spark):
+    t = license_scan.TEMPLATES
+    prose, mit = words(400, 5), t["MIT"].replace("conditions: ", "conditions:\n\n").replace("Software. THE", "Software.\n\nTHE")
+    apache = t["Apache-2.0 header"].replace("at http", "at\n\nhttp").replace("2.0 Unless", "2.0\n\nUnless")
+    bodies = {
+        1: f"{prose}\n\n{mit}\n\n{prose}", 2: "Released under the MIT License. Copyright 2020 X Y", 3: f"{prose}\n{apache}\n\n{prose}", 4: prose,
+        5: f"{prose}\n\n{t['BSD-3-Clause'].replace(' 2. R', chr(10) * 2 + '2. R').replace(' 3. N', chr(10) * 2 + '3. N')} {prose}", 6: "released under the licence of MIT " * 3_000,
+    }
+    got = {r["doc_id"]: (r["licenses"], r["dice"]) for r in license_scan.scan(spark.createDataFrame(list(bodies.items()), "doc_id long, text string")).collect()}
+    assert got == {1: ("MIT", 1.0), 2: ("MIT notice", 1.0), 3: ("Apache-2.0 header", 1.0), 4: ("", None), 5: ("BSD-3-Clause", 1.0), 6: ("", None)}
+
+
+def test_license_windows_equal_brute_force():
+    held, r = license_scan.Templates({"t": " ".join("abcdefghij")}, 0.85), random.Random(3)
+    for _ in range(300):
+        text = " ".join(r.choice("abcdefghijxy") if r.random() < 0.3 else "abcdefghij"[i % 10] for i in range(r.randint(8, 30)))
+        w = license_scan.Words(*license_scan.texts(license_scan.pa.array([text])), license_scan._WORD)
+        grams = w.grams(2)[:-1]
+        at = np.minimum(np.searchsorted(held.known, grams), len(held.known) - 1)
+        got = held.windows(grams, np.where(held.known[at] == grams, at, -1), [])
+        want = max((d for a in range(len(grams)) for b in range(a + 1, len(grams) + 1) for d, _ in held.best(set(grams[a:b].tolist()))), default=None)
+        assert max((h[0] for h in got), default=None) == want
+
+
 def test_url_filter_spans_words_and_wildcards(spark):
     rules = [url_filter.host_rule(f"h{i}.example.com/a*/b", f"v{i}") for i in range(12)] + [url_filter.host_rule("com/", "com")]
     urls = [None, "", "x", "http://H3.example.com/aXX/bc", "http://z.h11.example.com/a/b?q", "http://q.com/h3.example.com/a/b", "a://com", "http://xh3.example.com/a/b"]
