@@ -1,8 +1,9 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours.
 
 Documents are encoded and dealt by a hash of their id into shards of about
-`SHARD_BYTES` of text; a shard has its own BM25 inverted index over token ids (terms
-in more than `COMMON` of the shard's documents are left out).  A window begins with
+`SHARD_BYTES` of text; a shard has its own BM25 index over token ids, and all terms of
+a seed are scored against all its documents: terms in more than 1 / `DENSE` of them as
+rows of a matrix, others from postings.  A window begins with
 the rest of the document that was cut last, or the next unused one; the index returns
 the best unused neighbours for that seed, which greedily fill the window.  The last
 one is cut where the window ends, so windows of `length` have no padding.  A shard's
@@ -25,12 +26,12 @@ from pyspark.sql import functions as F
 from .tokens import END_ID, encoder
 
 LENGTH, SHARD_BYTES = 4096, 8 << 20
-#: BM25's k1 and b, terms of a seed that are looked up, share of a shard's documents that makes a term common.
-K1, B, QUERY_TERMS, COMMON = 1.2, 0.75, 24, 0.1
+#: BM25's k1 and b; terms in more than a DENSE-th of a shard's documents are kept as matrix rows.
+K1, B, DENSE = 1.2, 0.75, 8
 
 
 class Bm25:
-    """Inverted index of one shard's documents over token ids."""
+    """Index of one shard's documents over token ids: a matrix of the frequent terms, postings of the others."""
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
@@ -40,27 +41,38 @@ class Bm25:
         tf = np.diff(np.append(lead, len(key)))
         doc, term = (key[lead] >> np.uint64(32)).astype(np.int64), (key[lead] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         df = np.bincount(term)
-        use = (df[term] > 1) & (df[term] <= max(2, COMMON * n))
+        # a term of one document brings no neighbours
+        use = df[term] > 1
         doc, term, tf = doc[use], term[use], tf[use]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
         weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
         self.n = n
         self.by_doc, self.doc_at = term, np.searchsorted(doc, np.arange(n + 1))
-        self.doc_weight = weight
+        frequent = np.flatnonzero((df > 1) & (df * DENSE > n))
+        self.row = np.full(len(df), -1)
+        self.row[frequent] = np.arange(len(frequent))
+        self.rows = np.zeros((len(frequent), n))
+        often = self.row[term] >= 0
+        self.rows[self.row[term[often]], doc[often]] = weight[often]
+        doc, term, weight = doc[~often], term[~often], weight[~often]
         order = np.argsort(term, kind="stable")
         self.posted, self.weight = doc[order], weight[order]
         self.term_at = np.searchsorted(term[order], np.arange(len(df) + 1))
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share a term with the seed, best first, ties in order of place."""
-        lo, hi = self.doc_at[seed], self.doc_at[seed + 1]
-        terms = self.by_doc[lo:hi]
-        if len(terms) > QUERY_TERMS:
-            terms = terms[np.argpartition(-self.doc_weight[lo:hi], QUERY_TERMS)[:QUERY_TERMS]]
+        """Unused documents that share a term with the seed, best first, ties (to nine digits) in order of place."""
+        terms = self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
         if not len(terms):
             return np.zeros(0, np.int64)
-        cuts = [slice(self.term_at[t], self.term_at[t + 1]) for t in terms]
-        score = np.bincount(np.concatenate([self.posted[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), self.n)
+        row = self.row[terms]
+        # row by row: equal documents get equal sums, and no threads of a matrix library
+        score = np.zeros(self.n)
+        for r in row[row >= 0].tolist():
+            score += self.rows[r]
+        cuts = [slice(self.term_at[t], self.term_at[t + 1]) for t in terms[row < 0]]
+        if cuts:
+            score += np.bincount(np.concatenate([self.posted[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), self.n)
+        score = score.round(9)
         found = np.flatnonzero((score > 0) & unused)
         return found[np.argsort(-score[found], kind="stable")]
 

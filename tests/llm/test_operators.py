@@ -90,6 +90,26 @@ def test_packing(docs, empty, ids):
     assert set(p.doc_id) == set(ids) and packing.pack(empty, PATH).count() == 0
 
 
+def test_packing_scores_all_terms():
+    r = np.random.default_rng(5)
+    # a third are copies of one text, all of whose terms are frequent; one text is long
+    docs = [np.arange(50, 90) if i % 3 == 0 else np.append(r.integers(0, 50, 30), r.integers(100, 400, 10)) for i in range(60)] + [np.arange(50, 400)]
+    index, n = packing.Bm25(docs), len(docs)
+    df = np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=400)
+    mean = np.mean([len(d) for d in docs])
+    for seed in range(n):
+        want = []
+        for i, d in enumerate(docs):
+            tf = np.bincount(d, minlength=400)
+            w = np.log1p((n - df + 0.5) / (df + 0.5)) * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
+            score = round(w[np.unique(docs[seed])].sum(), 9)
+            if i != seed and score > 0:
+                want.append((-score, i))
+        unused = np.ones(n, bool)
+        unused[seed] = False
+        assert index.neighbours(seed, unused).tolist() == [i for _, i in sorted(want)]
+
+
 def test_near_duplicates_in_dense_groups(spark):
     """Copies of one text, each changed in some words: links of a group that is not one component."""
     r, base, rows = random.Random(5), words(120, 9).split(), []
