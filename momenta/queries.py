@@ -75,6 +75,11 @@ def selfjoin_crossproduct(spark, d):
     return _rounded(summary.selfjoin_crossproduct(_large(spark, d)), 3)
 
 
+def selfjoin_crossproduct_all(spark, d):
+    """Over every cell; no SQL, as those of the other whole-table forms."""
+    return _rounded(summary.selfjoin_crossproduct(_vectors(spark, d)), 3)
+
+
 def diag_summary(spark, d):
     return _rounded(summary.diag_summary(_items(spark, d), COLS))
 
@@ -185,6 +190,10 @@ def pivot_wide(spark, d):
     return to_wide(_vectors(spark, d).where("j <= 4"), 4)
 
 
+def pivot_wide_all(spark, d):
+    return to_wide(_vectors(spark, d), DIM)
+
+
 def rowid_incr_step(spark, d):
     return increments(_orders(spark, d).select("k"), "k")
 
@@ -202,12 +211,24 @@ def widen_by_duplication(spark, d):
     return generate.widened(_vectors(spark, d).where("j <= 3"), 3, 1)
 
 
+def widen_by_duplication_all(spark, d):
+    return generate.widened(_vectors(spark, d), DIM, DIM)
+
+
 def narrow_columns(spark, d):
     return generate.narrowed(_vectors(spark, d), 2)
 
 
+def _points(cells: DataFrame) -> DataFrame:
+    return cells.select(point(F.col("i"), F.col("j"), F.col("v")).alias("p")).select(F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.v").alias("v"))
+
+
 def coordinate_points(spark, d):
-    return _vectors(spark, d).where("j <= 2").select(point(F.col("i"), F.col("j"), F.col("v")).alias("p")).select(F.col("p.i").alias("i"), F.col("p.j").alias("j"), F.col("p.v").alias("v"))
+    return _points(_vectors(spark, d).where("j <= 2"))
+
+
+def coordinate_points_all(spark, d):
+    return _points(_vectors(spark, d))
 
 
 def identity_scan(spark, d):
@@ -228,7 +249,7 @@ _NAMES = (
     "dense_summary dense_summary_array wide_summary long_summary sparse_summary selfjoin_crossproduct diag_summary sparse_diag_summary group_diag_summary group_diag_summary_idy "
     "chunk_summary cumulative_summary correlation_y correlation_matrix preselect_topd linreg_origin linreg_intercept pca_corr incremental_regression kmeans_assign kmeans_step kmeans_fit "
     "kmeans_incremental kmeans_without_distance unpivot_long pivot_wide rowid_incr_step increment_vertical recode_label widen_by_duplication narrow_columns coordinate_points identity_scan "
-    "pi_midpoint class_statistics"
+    "pi_midpoint class_statistics selfjoin_crossproduct_all pivot_wide_all widen_by_duplication_all coordinate_points_all"
 ).split()
 
 

@@ -154,3 +154,19 @@ def test_generators_and_streams(spark, x, tmp_path):
         add(df.where(f"k % 2 = {b}"), b)
     assert np.allclose(add.total().m, oracle(x[:, :2]))
     assert choose(4) == "sql" and choose(30) == "arrow" and choose(30, 0.01) == "long"
+
+
+def test_whole_table_queries(spark, tmp_path):
+    from momenta import queries as q
+
+    e = np.random.default_rng(4).normal(0, 0.1, (7, q.DIM)).astype(np.float32)
+    spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(e)], "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    y, found = e.astype(float), q.queries()
+    cells = {(i, j + 1, y[i, j]) for i in range(7) for j in range(q.DIM)}
+    rows = lambda name: [tuple(r) for r in found[name](spark, str(tmp_path)).collect()]
+    points, wider, wide = rows("coordinate_points_all"), rows("widen_by_duplication_all"), rows("pivot_wide_all")
+    assert len(points) == len(cells) and set(points) == cells
+    assert len(wider) == 2 * len(cells) and set(wider) == cells | {(i, j + q.DIM, v) for i, j, v in cells}
+    assert sorted(wide) == [(i, *y[i].tolist()) for i in range(7)]
+    got = {(i, j): v for i, j, v in rows("selfjoin_crossproduct_all")}
+    assert len(got) == q.DIM**2 and all(abs(v - (y.T @ y)[i - 1, j - 1]) <= 6e-4 for (i, j), v in got.items())
