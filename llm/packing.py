@@ -1,7 +1,12 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours.
 
-Documents are encoded and dealt by a hash of their id into shards of about
-`SHARD_BYTES` of text; a shard has its own BM25 index over token ids, and all terms of
+Documents are encoded and dealt by what they hold into shards of about `SHARD_BYTES` of
+text.  A sample of the documents gives each term its weight and a tree: a document is the
+unit vector of its weighted terms, hashed to `DIM` places; a node cuts the sample in halves
+along its main axis.  Neighbouring leaves fill a shard, and a leaf over a shard's size (many
+copies, a large topic) is cut by a hash of id and text.  So documents that resemble each
+other mostly share a shard, and equal ones always share a leaf, but a seed's best neighbour
+may still be in another shard: README has the measured recall.  A shard has its own BM25 index over token ids, and all terms of
 a seed are scored against all its documents: terms in more than 1 / `DENSE` of them as
 rows of a matrix, others from postings.  A window begins with
 the rest of the document that was cut last, or the next unused one; the index returns
@@ -23,11 +28,77 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
 from .tokens import END_ID, encoder
 
 LENGTH, SHARD_BYTES = 4096, 8 << 20
 #: BM25's k1 and b; terms in more than a DENSE-th of a shard's documents are kept as matrix rows.
 K1, B, DENSE = 1.2, 0.75, 8
+#: Places of a document's vector, sampled documents a leaf and in all, and ids of each that the sample keeps.
+DIM, LEAF, SAMPLE, SAMPLE_IDS = 128, 4, 32_000, 2_000
+
+
+class Tree:
+    """Leaves of documents that resemble each other, learnt from a sample; neighbouring leaves have neighbouring numbers."""
+
+    def __init__(self, docs: list[np.ndarray], vocabulary: int, leaves: int):
+        df = np.zeros(vocabulary)
+        for d in docs:
+            df[np.unique(d)] += 1
+        self.idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+        r = np.random.default_rng(8)
+        self.place, self.sign = r.integers(0, DIM, vocabulary), r.choice(np.array([-1, 1], np.float32), vocabulary)
+        #: a node's axis, bound and children; a leaf is -1 - its number
+        self.axes, self.bounds, self.sides = [], [], []
+        self.leaves = 0
+        x = self.vectors(docs)
+        self.root = self._grow(x, leaves)
+        self.axes = np.array(self.axes, np.float32).reshape(-1, DIM)
+
+    def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
+        out = np.zeros((len(docs), DIM), np.float32)
+        for i, d in enumerate(docs):
+            terms, tf = np.unique(d, return_counts=True)
+            v = np.bincount(self.place[terms], self.sign[terms] * self.idf[terms] * (1 + np.log(tf)), DIM)
+            out[i] = v / (np.sqrt((v * v).sum()) or 1)
+        return out
+
+    def _grow(self, x: np.ndarray, leaves: int) -> int:
+        if leaves > 1 and len(x) > LEAF:
+            y = x - x.mean(0)
+            axis = np.linalg.eigh(y.T @ y)[1][:, -1].astype(np.float32)
+            at = (x * axis).sum(1)
+            for bound in (np.median(at), at.mean()):
+                right = at > bound
+                if 0 < right.sum() < len(x):
+                    node = len(self.axes)
+                    self.axes.append(axis)
+                    self.bounds.append(float(bound))
+                    self.sides.append([0, 0])
+                    self.sides[node] = [self._grow(x[~right], leaves // 2), self._grow(x[right], leaves - leaves // 2)]
+                    return node
+        self.leaves += 1
+        return -self.leaves
+
+    def leaf(self, doc: np.ndarray) -> int:
+        x, node = self.vectors([doc])[0], self.root
+        while node >= 0:
+            node = self.sides[node][int((x * self.axes[node]).sum() > self.bounds[node])]
+        return -1 - node
+
+
+def dealt(sizes: dict[int, int], shard_bytes: int) -> list[tuple[int, int, int]]:
+    """(leaf, first shard, shards) of leaves and their bytes: small neighbours share a shard, large ones are cut."""
+    out, shard, used = [], 0, 0
+    for leaf, size in sorted(sizes.items()):
+        if used and used + size > shard_bytes:
+            shard, used = shard + 1, 0
+        parts = max(1, -(-size // shard_bytes))
+        out.append((leaf, shard, parts))
+        used += size
+        if parts > 1:
+            shard, used = shard + parts, 0
+    return out
 
 
 class Bm25:
@@ -142,18 +213,32 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    size = docs.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    shards = max(1, -(-size // shard_bytes))
-    # texts without an id are dealt by what they hold
-    docs = docs.withColumn("shard", F.pmod(F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("id")), F.lit(shards)))
+    docs = docs.withColumn("spread", F.xxhash64("id", "text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)
+    size, count = docs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
+    # twice as many leaves as shards, so that merged ones fill them
+    leaves = 2 * -(-size // shard_bytes)
+    tree = None
+
+    def sampled(batches):
+        enc = encoder(tokenizer)
+        for batch in batches:
+            ids = [x[:SAMPLE_IDS].tobytes() for x in enc.encode(batch.column("text").to_pylist(), end_id)]
+            yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
+
+    if leaves > 2:
+        enc, scale = encoder(tokenizer), 1 << 40
+        bound = scale * min(SAMPLE, max(2_000, LEAF * leaves)) // count
+        some = docs.where(F.pmod("spread", F.lit(scale)) < bound).select("text").mapInArrow(sampled, "ids binary").toArrow()
+        tree = Tree(sorted((np.frombuffer(x, enc.dtype) for x in some["ids"].to_pylist()), key=lambda d: d.tobytes()), len(enc.ends), leaves)
 
     def encode(batches):
         enc = encoder(tokenizer)
         for batch in batches:
             for lo in range(0, batch.num_rows, 1024):
                 part = batch.slice(lo, 1024)
-                ids = [x.astype("<u4").tobytes() if x.dtype.itemsize == 4 else x.tobytes() for x in enc.encode(part.column("text").to_pylist(), end_id)]
-                yield pa.RecordBatch.from_pydict({"shard": part.column("shard"), "id": part.column("id"), "ids": pa.array(ids, pa.binary())})
+                ids = [x.tobytes() for x in enc.encode(part.column("text").to_pylist(), end_id)]
+                leaf = [tree.leaf(np.frombuffer(x, enc.dtype)) if tree else 0 for x in ids]
+                yield pa.RecordBatch.from_pydict({"leaf": pa.array(leaf, pa.int32()), "spread": part.column("spread"), "bytes": part.column("bytes"), "id": part.column("id"), "ids": pa.array(ids, pa.binary())})
 
     def shard_pieces(shard: int, keys: list, docs: list[np.ndarray]):
         pieces = fill(docs, length)
@@ -184,5 +269,13 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
             yield from shard_pieces(shard, keys, held)
 
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    dealt = docs.mapInArrow(encode, "shard long, id long, ids binary").repartition("shard").sortWithinPartitions("shard", "id")
-    return dealt.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    coded = docs.mapInArrow(encode, "leaf int, spread long, bytes long, id long, ids binary")
+    if tree:
+        coded = written(coded, "packing")
+        sizes = dict(coded.groupBy("leaf").agg(F.sum("bytes")).collect())
+        places = documents.sparkSession.createDataFrame(dealt(sizes, shard_bytes), "leaf int, first long, parts long")
+        coded = coded.join(F.broadcast(places), "leaf").withColumn("shard", F.col("first") + F.pmod("spread", "parts"))
+    else:
+        coded = coded.withColumn("shard", F.lit(0).cast("long"))
+    parted = coded.select("shard", "id", "ids").repartition("shard").sortWithinPartitions("shard", "id")
+    return parted.mapInArrow(run, schema).withColumnRenamed("id", id_col)

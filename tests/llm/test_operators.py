@@ -90,6 +90,24 @@ def test_packing(docs, empty, ids):
     assert set(p.doc_id) == set(ids) and packing.pack(empty, PATH).count() == 0
 
 
+def test_packing_deals_neighbours_to_one_shard(spark):
+    topics = [words(60, 20 + i).split() for i in range(16)]
+    r = random.Random(7)
+    docs = [(i, " ".join(r.choices(topics[i % 16], k=80))) for i in range(640)] + [(1000 + i, " ".join(topics[3])) for i in range(200)] + [(None, None)]
+    size = sum(len(t or "") + 64 for _, t in docs)
+    p = packing.pack(spark.createDataFrame(docs, "doc_id long, text string"), PATH, shard_bytes=size // 8).toPandas()
+    assert set(p.doc_id.dropna()) == {i for i, _ in docs if i is not None} and p.doc_id.isna().sum() == 1
+    assert p.groupby("doc_id").length.sum().equals(p.groupby("doc_id").doc_tokens.first())
+    p["shard"] = p.sequence_id // 2**32
+    assert 8 <= p.shard.nunique() <= 20
+    own = p[p.doc_id < 640].drop_duplicates("doc_id").set_index("doc_id").shard
+    pairs = [(i, j) for i in range(640) for j in range(i + 16, 640, 16) if i % 16 != 3]
+    # by a hash of the id about one in eight
+    assert np.mean([own[i] == own[j] for i, j in pairs]) > 0.6
+    # rows of a group of copies over a shard's size are cut, not left in one
+    assert p[p.doc_id >= 1000].shard.nunique() > 1
+
+
 def test_packing_scores_all_terms():
     r = np.random.default_rng(5)
     # a third are copies of one text, all of whose terms are frequent; one text is long
