@@ -170,3 +170,10 @@ def test_whole_table_queries(spark, tmp_path):
     assert sorted(wide) == [(i, *y[i].tolist()) for i in range(7)]
     got = {(i, j): v for i, j, v in rows("selfjoin_crossproduct_all")}
     assert len(got) == q.DIM**2 and all(abs(v - (y.T @ y)[i - 1, j - 1]) <= 6e-4 for (i, j), v in got.items())
+
+
+def test_bench_times_every_training_data_query():
+    import __spark_entry__ as entry
+    import bench
+
+    assert {n for n in entry.queries() if n.startswith("op") or n == "pipeline"} == set(bench.EXTRA)
