@@ -31,7 +31,7 @@ class Clusters:
 
 
 def parse_config(text: str) -> dict:
-    """`name=value` pairs between commas: blanks leave names only, `incremental` is true if exactly `true`, omega is 0 if absent, other names are ignored."""
+    """`name=value` pairs between commas: blanks leave names only, `incremental` is true if exactly `true`, omega is 0 if absent or empty, other names are ignored."""
     found = {"incremental": False, "omega": 0.0}
     for part in text.split(","):
         name, eq, value = part.partition("=")
@@ -39,7 +39,7 @@ def parse_config(text: str) -> dict:
         if eq and name == "incremental":
             found[name] = value == "true"
         elif eq and name == "omega":
-            found[name] = float(value)
+            found[name] = float(value) if value else 0.0
     return found
 
 
@@ -92,12 +92,14 @@ def reseeded(w: np.ndarray, c: np.ndarray, r: np.ndarray, omega: float) -> tuple
     return c, r
 
 
-def kmeans(df: DataFrame, cols: Sequence[str], k: int, key: str, max_rounds: int = 50, incremental: bool = False, omega: float = 0.5, chunk_size: int | None = None) -> Clusters:
-    """Lloyd's method from the first k rows by key.
+def kmeans(df: DataFrame, cols: Sequence[str], k: int, key: str, max_rounds: int = 50, incremental: bool = False, omega: float = 0.5, chunk_size: int | None = None, config: str | None = None) -> Clusters:
+    """Lloyd's method from the first k rows by key.  A `config` text (see `parse_config`) replaces incremental and omega.
 
     Iterative: a pass per round.  Incremental: the centroids move after every chunk of
     `chunk_size` keys, from that chunk alone; serial by nature, a job per chunk.
     """
+    if config is not None:
+        incremental, omega = parse_config(config).values()
     rows = numbers(df, [key, *cols]).persist()
     try:
         first = rows.orderBy(key).limit(k).select(*cols).collect()
@@ -129,3 +131,52 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int, key: str, max_rounds: int
         return Clusters(w, c, r, avg)
     finally:
         rows.unpersist()
+
+
+def assigned_long(cells: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(i, cluster, square) from long cells (i, j, v) and centroids (cluster, j, c): an equi join on j and sums by row and cluster.
+
+    Centroids are k x d numbers; Spark broadcasts them by their size.  Ties go to the lowest cluster.
+    """
+    away = cells.join(centroids, "j").groupBy("i", "cluster").agg(F.sum(_square(F.col("v") - F.col("c"))).alias("square"))
+    return away.groupBy("i").agg(F.min(F.struct("square", "cluster")).alias("m")).select("i", F.col("m.cluster").alias("cluster"), F.col("m.square").alias("square"))
+
+
+def tables(df: DataFrame, cols: Sequence[str], key: str, centroids: np.ndarray, omega: float = 0.0) -> dict[str, DataFrame]:
+    """The relational form of one step: frames by name.
+
+    CH (j, X1..Xd) centroids; XV (i, l, val) cells; YD (i, d1..dk) squared distances; YNN (i, j)
+    nearest centroids; NMQ (l, j, N, M, Q) counts, sums and sums of squares of column l in
+    cluster j; WCR (l, j, W, C, R) weights, means and variances; model (n, k, omega).
+    """
+    spark, k = df.sparkSession, len(centroids)
+    rows = numbers(df, cols, keys=[key])
+    ch = spark.createDataFrame([(j, *map(float, c)) for j, c in enumerate(centroids, 1)], "j int, " + ", ".join(f"X{n} double" for n in range(1, len(cols) + 1)))
+    near = assigned(rows, cols, np.asarray(centroids, float))
+    away = [sum((_square(F.col(name) - F.lit(float(x))) for name, x in zip(cols[1:], c[1:])), _square(F.col(cols[0]) - F.lit(float(c[0])))) for c in centroids]
+    long = lambda frame, *keep: frame.select(*keep, F.inline(F.array(*(F.struct(F.lit(n).alias("l"), F.col(c).alias("val")) for n, c in enumerate(cols, 1)))))
+    nmq = long(near, F.col("cluster").alias("j")).groupBy("l", "j").agg(F.count(F.lit(1)).alias("N"), F.sum("val").alias("M"), F.sum(_square(F.col("val"))).alias("Q"))
+    n = rows.agg(F.count(F.lit(1)).alias("n"))
+    wcr = nmq.crossJoin(F.broadcast(n.select(F.col("n").alias("all_rows")))).select("l", "j", (F.col("N") / F.col("all_rows")).alias("W"), (F.col("M") / F.col("N")).alias("C"), (F.col("Q") / F.col("N") - _square(F.col("M") / F.col("N"))).alias("R"))
+    return {
+        "CH": ch,
+        "XV": long(rows, F.col(key).alias("i")),
+        "YD": rows.select(F.col(key).alias("i"), *(a.alias(f"d{j}") for j, a in enumerate(away, 1))),
+        "YNN": near.select(F.col(key).alias("i"), F.col("cluster").alias("j")),
+        "NMQ": nmq,
+        "WCR": wcr,
+        "model": n.select("n", F.lit(k).alias("k"), F.lit(float(omega)).cast("double").alias("omega")),
+    }
+
+
+def library_kmeans(df: DataFrame, cols: Sequence[str], k: int = 10, max_rounds: int = 50, seed: int = 42) -> tuple[np.ndarray, float]:
+    """(centres, sum of squared distances) of Spark ML's own k-means: the baseline the operator is held against."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.feature import VectorAssembler
+
+    rows = VectorAssembler(inputCols=list(cols), outputCol="features").transform(numbers(df, cols)).select("features").persist()
+    try:
+        model = KMeans(k=k, maxIter=max_rounds, seed=seed).fit(rows)
+        return np.array(model.clusterCenters()), float(model.summary.trainingCost)
+    finally:
+        rows.unpersist()

@@ -7,8 +7,9 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .summary import chunk_summary, dense_summary
+from .summary import cumulative_summary, dense_summary
 
 
 @dataclass(frozen=True)
@@ -91,21 +92,29 @@ def relative_error(approximate: np.ndarray, accurate: np.ndarray) -> float:
     return float(np.max(np.abs((approximate - accurate) / accurate)))
 
 
-def incremental_regression(df: DataFrame, key: str, cols: list[str], size: int, start: int = 0, fit: Callable[[SummaryMatrix], np.ndarray] = linreg_origin) -> Iterator[tuple[int, float]]:
-    """(chunk, error against the full model) as chunks are added, until one is empty."""
-    exact, total, chunk = fit(SummaryMatrix.of(dense_summary(df, cols))), None, 0
-    while True:
-        part = SummaryMatrix.of(chunk_summary(df, key, cols, chunk, size, start))
-        if not part.m.size:
-            return
-        total = part if total is None else total + part
-        yield chunk, relative_error(fit(total), exact)
-        chunk += 1
+def incremental_regression(df: DataFrame, key: str, cols: list[str], size: int, start: int = 0, fit: Callable[[SummaryMatrix], np.ndarray] = linreg_origin, on_null: str = "error") -> Iterator[tuple[int, float]]:
+    """(chunk, error against the full model) as chunks are added, in order; chunks without rows are passed over.
+
+    One aggregation gives every chunk's cumulative summary; they come to the driver one after another.
+    """
+    exact, width = fit(SummaryMatrix.of(dense_summary(df, cols, on_null=on_null))), len(cols) + 1
+    cells = cumulative_summary(df, key, cols, size, start, on_null)
+    by_chunk = cells.groupBy("chunk").agg(F.sort_array(F.collect_list(F.struct("i", "j", "v"))).alias("m")).orderBy("chunk")
+    for chunk, m in by_chunk.toLocalIterator():
+        yield chunk, relative_error(fit(SummaryMatrix(np.array([c["v"] for c in m]).reshape(width, width))), exact)
+
+
+def group_matrix(cells: DataFrame, k: int | None = None) -> np.ndarray:
+    """A grouped diagonal summary as a matrix, a class a row; fewer classes than `k`, if given, raise."""
+    rows = cells.toPandas().pivot(index="i", columns="j", values="v").sort_index().to_numpy()
+    if k is not None and len(rows) != k:
+        raise ValueError(f"{len(rows)} classes, not {k}")
+    return rows
 
 
 def class_statistics(cells: DataFrame) -> list[dict]:
     """Per class: prior, means and variances, from a grouped diagonal summary (enough for naive Bayes)."""
-    rows = cells.toPandas().pivot(index="i", columns="j", values="v").sort_index().to_numpy()
+    rows = group_matrix(cells)
     if not len(rows):
         return []
     d = (rows.shape[1] - 1) // 2 - 1

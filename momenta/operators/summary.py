@@ -39,7 +39,7 @@ def dense_summary(df: DataFrame, cols: Sequence[str], plan: str | None = None, o
     if plan == "sql":
         z = [F.lit(1.0).cast("double"), *(F.col(c) for c in cols)]
         sums, cells = _triangle(z)
-        made = numbers(df, cols, on_null) if not keys else df.select(*keys, *(F.col(c).cast("double").alias(c) for c in cols))
+        made = numbers(df, cols, on_null, keys)
         return _mirrored(made.groupBy(*keys).agg(*sums) if keys else made.agg(*sums), cells, keys)
     if plan == "arrow":
         return array_summary(numbers(df, cols, on_null).select(F.array(*cols).alias("row")), len(cols))
@@ -47,18 +47,22 @@ def dense_summary(df: DataFrame, cols: Sequence[str], plan: str | None = None, o
 
 
 def array_summary(df: DataFrame, d: int, col: str = "row") -> DataFrame:
-    """Full summary of an array column of d doubles: matrix products of Arrow batches, summed."""
+    """Full summary of an array column of d doubles: matrix products of Arrow batches, summed.  A null, a null inside or another length raises."""
 
     def partial(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
 
         total = np.zeros((d + 1, d + 1))
         for batch in batches:
+            if not batch.num_rows:
+                continue
             column = batch.column(0)
-            flat = column.flatten().to_numpy(zero_copy_only=False)
-            if column.null_count or len(flat) != d * len(column):
+            cells = column.flatten()
+            if column.null_count or cells.null_count or not pc.all(pc.equal(pc.list_value_length(column), d)).as_py():
                 raise ValueError(f"every row needs {d} values")
+            flat = cells.to_numpy(zero_copy_only=False)
             z = np.column_stack([np.ones(len(column)), flat.reshape(-1, d)])
             total += z.T @ z
         i, j = np.indices(total.shape)
@@ -67,6 +71,55 @@ def array_summary(df: DataFrame, d: int, col: str = "row") -> DataFrame:
     return df.select(F.col(col).cast("array<double>").alias("row")).mapInArrow(partial, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
 
 
+def block_product(df: DataFrame, d: int, block: int = 512, col: str = "row", spread: int = 1) -> DataFrame:
+    """(i, j, v): products of all pairs of columns of an array column, without a constant, for rows too wide for one matrix a task.
+
+    Columns are cut into blocks; a pair of blocks is one product of at most `block` x `block`
+    cells, kept by one task for each of `spread` parts of the rows and summed at last.
+    """
+    if d < 1 or block < 1 or spread < 1:
+        raise ValueError("d, block and spread must be positive")
+    cuts = -(-d // block)
+    pairs = [(p, q) for p in range(cuts) for q in range(p + 1)]
+    row = F.col(col).cast("array<double>")
+    sound = row.isNotNull() & (F.size(row) == d) & ~F.exists(row, lambda x: x.isNull())
+    part = lambda p: F.slice("row", F.col(p) * block + 1, block).alias(f"x{p}")
+    rows = df.select(F.when(sound, row).otherwise(F.raise_error(F.lit(f"every row needs {d} values"))).alias("row"))
+    rows = rows.withColumn("s", F.pmod(F.xxhash64("row"), F.lit(spread)).cast("int"))
+    tiles = rows.select("row", "s", F.inline(F.array(*(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q")) for p, q in pairs)))).select("p", "q", "s", part("p"), part("q"))
+
+    def product(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        def cells(at, total):
+            i, j = np.indices(total.shape)
+            i, j, v = i.ravel() + at[0] * block + 1, j.ravel() + at[1] * block + 1, total.ravel()
+            yield pa.RecordBatch.from_pydict({"i": pa.array(i, pa.int32()), "j": pa.array(j, pa.int32()), "v": pa.array(v)})
+            if at[0] != at[1]:
+                yield pa.RecordBatch.from_pydict({"i": pa.array(j, pa.int32()), "j": pa.array(i, pa.int32()), "v": pa.array(v)})
+
+        held, total = None, None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy() for c in ("p", "q")])
+            cuts = [0, *(np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts[:-1], cuts[1:]):
+                if lo == hi:
+                    continue
+                at = tuple(keys[:, lo].tolist())
+                x, y = (batch.column(c).slice(lo, hi - lo).flatten().to_numpy(zero_copy_only=False).reshape(hi - lo, -1) for c in ("xp", "xq"))
+                if at != held:
+                    if held:
+                        yield from cells(held, total)
+                    held, total = at, np.zeros((x.shape[1], y.shape[1]))
+                total += x.T @ y
+        if held:
+            yield from cells(held, total)
+
+    dealt = tiles.repartition("p", "q", "s").sortWithinPartitions("p", "q")
+    return dealt.mapInArrow(product, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v"))
+
+
 def csv_summary(spark, path: str, d: int) -> DataFrame:
     """Full summary of a CSV file of d numeric columns without a header."""
     from ..sources.files import read_csv
@@ -157,15 +210,16 @@ def chunk_id(key: str, size: int, start: int = 0) -> Column:
     return F.floor((F.col(key) - start) / size).cast("int")
 
 
-def chunk_summary(df: DataFrame, key: str, cols: Sequence[str], chunk: int, size: int, start: int = 0) -> DataFrame:
+def chunk_summary(df: DataFrame, key: str, cols: Sequence[str], chunk: int, size: int, start: int = 0, on_null: str = "error") -> DataFrame:
     """Full summary of one chunk of rows by key; empty if there are none.  The filter is a range of the key, so it reaches the scan."""
     lo = start + chunk * size
-    rows = df.where((F.col(key) >= lo) & (F.col(key) < lo + size))
-    return dense_summary(rows.withColumn("_k", F.lit(1)), cols, "sql", keys=["_k"]).drop("_k")
+    rows = df.where((F.col(key) >= lo) & (F.col(key) < lo + size)).select(*cols)
+    return dense_summary(rows.withColumn("_k", F.lit(1)), cols, "sql", on_null, keys=["_k"]).drop("_k")
 
 
-def cumulative_summary(df: DataFrame, key: str, cols: Sequence[str], size: int, start: int = 0) -> DataFrame:
+def cumulative_summary(df: DataFrame, key: str, cols: Sequence[str], size: int, start: int = 0, on_null: str = "error") -> DataFrame:
     """(chunk, i, j, v): the summary of all rows up to each chunk's end; partial sums, then a window over chunks."""
-    parts = dense_summary(df.withColumn("chunk", chunk_id(key, size, start)), cols, "sql", keys=["chunk"])
+    rows = df.select(chunk_id(key, size, start).alias("_chunk"), *cols)
+    parts = dense_summary(rows, cols, "sql", on_null, keys=["_chunk"]).withColumnRenamed("_chunk", "chunk")
     up_to = Window.partitionBy("i", "j").orderBy("chunk").rowsBetween(Window.unboundedPreceding, 0)
     return parts.select("chunk", "i", "j", F.sum("v").over(up_to).alias("v"))

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def _normal(key: Column, seed: int, salt: int) -> Column:
+    """A standard normal number that depends on the key alone (Box-Muller of two hashes), whatever the partitioning."""
+    unit = lambda n: (F.pmod(F.xxhash64(key, F.lit(seed), F.lit(salt), F.lit(n)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return F.sqrt(F.lit(-2.0).cast("double") * F.log(unit(1))) * F.cos(unit(2) * (2 * math.pi))
+
+
 def sparse_values(spark: SparkSession, n: int, d: int, density: float, seed: int = 42, stored_only: bool = True) -> DataFrame:
     """(i, j, v): multiples of 0.05 below 100 with the given density, else 0 (left out if stored_only)."""
     cells = spark.range(n * d).select((F.floor(F.col("id") / d) + 1).alias("i"), (F.col("id") % d + 1).cast("int").alias("j"), "id")
@@ -22,7 +29,7 @@ def gaussian_clusters(spark: SparkSession, n: int, d: int, k: int, spread: float
 
     centres = np.random.default_rng(seed).uniform(0, top, (k, d))
     rows = spark.range(1, n + 1).select(F.col("id").alias("i"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)).cast("int").alias("g"))
-    value = lambda j: F.element_at(F.array(*(F.lit(float(x)) for x in centres[:, j])), F.col("g") + 1) + F.randn(seed + j) * spread
+    value = lambda j: F.element_at(F.array(*(F.lit(float(x)) for x in centres[:, j])), F.col("g") + 1) + _normal(F.col("i"), seed, j) * spread
     return rows.select("i", *((F.round(value(j), digits) if digits is not None else value(j)).alias(f"x{j + 1}") for j in range(d)))
 
 
@@ -30,7 +37,7 @@ def gaussian_columns(spark: SparkSession, n: int, d: int, seed: int = 42, batch:
     """(i, x1..xd): each column normal around a mean drawn anew for every batch of rows."""
     b = F.floor(F.col("id") / batch)
     mean = lambda j: F.pmod(F.xxhash64(b, F.lit(j), F.lit(seed)), F.lit(10_000)) / 1000.0
-    return spark.range(n).select((F.col("id") + 1).alias("i"), *((mean(j) + F.randn(seed + j)).alias(f"x{j + 1}") for j in range(d)))
+    return spark.range(n).select((F.col("id") + 1).alias("i"), *((mean(j) + _normal(F.col("id"), seed, j)).alias(f"x{j + 1}") for j in range(d)))
 
 
 def clean_activity(df: DataFrame, cols: Sequence[str], label: str, positive: Sequence[int] | None = None) -> DataFrame:

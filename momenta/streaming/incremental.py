@@ -12,10 +12,16 @@ from ..operators.models import SummaryMatrix
 from ..operators.summary import dense_summary
 
 
-def running_summary(stream: DataFrame, cols: Sequence[str], name: str, checkpoint: str) -> StreamingQuery:
+def kept(rows: DataFrame, name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
+    """An aggregated stream, kept complete in the table `name`; `once` ends it when all that is there is read."""
+    out = rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint)
+    return (out.trigger(availableNow=True) if once else out).start()
+
+
+def running_summary(stream: DataFrame, cols: Sequence[str], name: str, checkpoint: str, once: bool = False) -> StreamingQuery:
     """n, sums and sums of squares of a stream, kept complete in the table `name`."""
     sums = [F.count(F.lit(1)).alias("n"), *(F.sum(c).alias(f"sum_{c}") for c in cols), *(F.sum(F.col(c) * F.col(c)).alias(f"square_{c}") for c in cols)]
-    return stream.agg(*sums).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", checkpoint).start()
+    return kept(stream.agg(*sums), name, checkpoint, once)
 
 
 def windowed_summary(stream: DataFrame, ts: str, cols: Sequence[str], length: str, late: str) -> DataFrame:

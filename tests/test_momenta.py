@@ -124,7 +124,7 @@ def test_forms_and_sources(spark, x, tmp_path):
     assert to_wide(long, 4).orderBy("i").first()["x3"] == x[0, 2]
     assert to_rows(long).where("i = 6").first()["row"] == x[6].tolist()
     numbered = increments(df.select("k"), "k").orderBy("k").collect()
-    assert [r["i"] for r in numbered] == list(range(1, 8)) and {r["incr_step"] for r in numbered} == {1, 2}
+    assert [r["i"] for r in numbered] == list(range(1, 8)) and {r["incr_step"] for r in numbered} == {1, 2, 3}
     raw = tmp_path / "m.bin"
     raw.write_bytes(x[:3].astype("<f8").tobytes())
     back = files.read_binary(spark, str(raw), 5, 4).orderBy("i", "j").collect()
@@ -177,3 +177,131 @@ def test_bench_times_every_training_data_query():
     import bench
 
     assert {n for n in entry.queries() if n.startswith("op") or n == "pipeline"} == set(bench.EXTRA)
+
+
+def test_row_numbers_with_payload_ties_and_nulls(spark):
+    r = np.random.default_rng(8)
+    keys = [*r.permutation(700).tolist(), *[350] * 400, *[None] * 30, 9, 9]
+    df = spark.createDataFrame([(k, float(n), f"x{n}") for n, k in enumerate(keys)], "k long, v double, s string")
+    for slots in (1, 3, 8, 16, 32):
+        rows = increments(df, "k", slots).collect()
+        assert sorted(x["i"] for x in rows) == list(range(1, len(keys) + 1))
+        by_i = [x["k"] for x in sorted(rows, key=lambda x: x["i"])]
+        assert by_i == sorted(keys, key=lambda k: (k is not None, k or 0))
+        assert all(x["incr_step"] == x["i"] % 10 + 1 for x in rows)  # log2(1132) is 10.1
+    assert increments(df.limit(0), "k").count() == 0
+    assert [x["incr_step"] for x in increments(df.limit(1), "k").collect()] == [1]
+    text = increments(df.select("s"), "s", 5).collect()
+    assert [x["s"] for x in sorted(text, key=lambda x: x["i"])] == sorted(f"x{n}" for n in range(len(keys)))
+    with pytest.raises(ValueError):
+        increments(df.withColumnRenamed("v", "i"), "k")
+
+
+def test_null_policy_of_keyed_summaries(spark):
+    df = spark.createDataFrame([(0, 1.0, None), (1, 2.0, 3.0), (10, 5.0, 7.0)], "k long, x double, y double")
+    for made in (lambda p: summary.chunk_summary(df, "k", ["x", "y"], 0, 10, on_null=p), lambda p: summary.cumulative_summary(df, "k", ["x", "y"], 10, on_null=p)):
+        with pytest.raises(Exception):
+            made("error").collect()
+    n = lambda p: models.SummaryMatrix.of(summary.chunk_summary(df, "k", ["x", "y"], 0, 10, on_null=p))
+    assert np.allclose(n("zero").m, oracle(np.array([[1, 0], [2, 3.0]]))) and np.allclose(n("drop").m, oracle(np.array([[2, 3.0]])))
+    last = summary.cumulative_summary(df, "k", ["x", "y"], 10, on_null="drop").where("chunk = 1")
+    assert np.allclose(models.SummaryMatrix.of(last).m, oracle(np.array([[2, 3.0], [5, 7]])))
+    with pytest.raises(Exception):
+        list(models.incremental_regression(df, "k", ["x", "y"], 10))
+
+
+def test_array_rows_of_wrong_shape_raise(spark):
+    for rows in ([[1.0], [2.0, 3.0, 4.0]], [[1.0, None]], [None, [1.0, 2.0]]):
+        df = spark.createDataFrame([(r,) for r in rows], "row array<double>").coalesce(1)
+        for made in (summary.array_summary(df, 2), summary.block_product(df, 2)):
+            with pytest.raises(Exception):
+                made.collect()
+
+
+def test_block_product(spark):
+    x = np.random.default_rng(2).normal(size=(50, 7))
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "row array<double>")
+    for block, spread in ((3, 2), (7, 1), (100, 4), (1, 1)):
+        cells = {(r["i"], r["j"]): r["v"] for r in summary.block_product(df, 7, block, spread=spread).collect()}
+        assert len(cells) == 49 and np.allclose([[cells[i, j] for j in range(1, 8)] for i in range(1, 8)], x.T @ x)
+    assert summary.block_product(df.limit(0), 7).count() == 0
+
+
+def test_incremental_regression_passes_over_gaps(spark):
+    x = np.random.default_rng(1).normal(size=(60, 2))
+    df = spark.createDataFrame([(i if i < 30 else i + 1000, *map(float, r)) for i, r in enumerate(x)], "k long, a double, b double")
+    got = list(models.incremental_regression(df, "k", ["a", "b"], 20))
+    assert [c for c, _ in got] == [0, 1, 51, 52, 53, 54][: len(got)] and got[-1][1] == pytest.approx(0)
+    exact = (x[:, 0] @ x[:, 1]) / (x[:, 0] @ x[:, 0])
+    assert got[0][1] == pytest.approx(abs((x[:20, 0] @ x[:20, 1]) / (x[:20, 0] @ x[:20, 0]) / exact - 1))
+    assert models.relative_error(np.array([1.0, 3.0]), np.array([2.0, 3.0])) == 0.5
+
+
+def test_kmeans_forms(spark):
+    x = np.random.default_rng(7).normal(size=(40, 3))
+    df, c = frame(spark, x), x[:4]
+    cols = ["x1", "x2", "x3"]
+    near = ((x[:, None] - c[None]) ** 2).sum(2)
+    t = km.tables(df, cols, "k", c, 0.25)
+    assert {r["i"]: r["j"] for r in t["YNN"].collect()} == {i: int(a) + 1 for i, a in enumerate(near.argmin(1))}
+    assert np.allclose([r[1:] for r in sorted(map(tuple, t["YD"].collect()))], near)
+    w = {(r["l"], r["j"]): (r["W"], r["C"], r["R"]) for r in t["WCR"].collect()}
+    for j in range(4):
+        mine = x[near.argmin(1) == j]
+        assert np.allclose([w[a + 1, j + 1] for a in range(3)], [(len(mine) / 40, m, v) for m, v in zip(mine.mean(0), mine.var(0))])
+    assert t["XV"].count() == 120 and t["CH"].count() == 4 and tuple(t["model"].first()) == (40, 4, 0.25)
+    centroids = spark.createDataFrame([(k + 1, j + 1, float(v)) for (k, j), v in np.ndenumerate(c)], "cluster int, j int, c double")
+    long = km.assigned_long(to_long(df, "k", cols), centroids).collect()
+    assert {r["i"]: r["cluster"] for r in long} == {i: int(a) + 1 for i, a in enumerate(near.argmin(1))}
+    ours = km.kmeans(df, cols, 4, "k", config="omega=0")
+    centres, cost = km.library_kmeans(df, cols, 4)
+    assert centres.shape == (4, 3) and cost <= 1.5 * sum(ours.w[k] * 40 * ours.r[k].sum() for k in range(4))
+    assert km.parse_config("omega=,incremental=true") == {"incremental": True, "omega": 0.0}
+
+
+def test_generated_rows_do_not_depend_on_partitions(spark):
+    made = []
+    for parts in (1, 5):
+        old = spark.conf.get("spark.sql.leafNodeDefaultParallelism", None)
+        spark.conf.set("spark.sql.leafNodeDefaultParallelism", parts)
+        made.append([sorted(map(tuple, f.collect())) for f in (generate.gaussian_clusters(spark, 300, 2, 3), generate.gaussian_columns(spark, 300, 2), generate.sparse_values(spark, 50, 4, 0.3))])
+        spark.conf.unset("spark.sql.leafNodeDefaultParallelism") if old is None else spark.conf.set("spark.sql.leafNodeDefaultParallelism", old)
+    assert made[0] == made[1]
+    x = np.array(generate.gaussian_columns(spark, 4000, 1, batch=4000).select("x1").collect())
+    assert abs(x.std() - 1) < 0.05
+
+
+def test_sinks_and_groups(spark, x, tmp_path):
+    df = frame(spark, x[:40])
+    files.write_binary(df, "k", COLS, f"{tmp_path}/m.bin")
+    assert (tmp_path / "m.bin").read_bytes() == x[:40].astype("<f8").tobytes()
+    files.write_csv(df.drop("k"), f"{tmp_path}/csv")
+    back = files.read_csv(spark, f"{tmp_path}/csv", 4)
+    assert files.dimensions(back) == (40, 4) and sorted(map(tuple, back.collect())) == sorted(map(tuple, x[:40]))
+    assert sorted(map(tuple, files.store(df, f"{tmp_path}/s").collect())) == sorted(map(tuple, df.collect()))
+    files.remove(spark, f"{tmp_path}/s")
+    assert not (tmp_path / "s").exists()
+    assert files.grey_tiff(files.tiff_file(2, 3, bytes(range(6)))) == (2, 3, bytes(range(6)))
+    cells = summary.group_diag_summary(df.selectExpr("x1", "cast(k % 3 as double) y"), ["x1", "y"], 5)
+    assert models.group_matrix(cells).shape == (3, 5)
+    with pytest.raises(ValueError):
+        models.group_matrix(cells, 5)
+    chosen = select.preselect_long(to_long(df, "k", COLS), [(1, -0.9), (2, 0.2), (3, 0.1)], 1)
+    assert {r["j"] for r in chosen.select("j").distinct().collect()} == {2, 4}
+
+
+def test_stream_summaries(spark, tmp_path):
+    from momenta.queries import queries
+
+    spark.range(100).selectExpr("id o_orderkey", "id * 10.0D o_totalprice").write.parquet(f"{tmp_path}/orders.parquet")
+    assert tuple(queries()["running_summary"](spark, str(tmp_path)).first()) == (100, 49.5, 32.84)
+    spark.range(50).selectExpr("timestamp_seconds(id * 7200) ts", "id * 1.0D value").write.parquet(f"{tmp_path}/events.parquet")
+    got = queries()["windowed_summary"](spark, str(tmp_path)).orderBy("day").collect()
+    assert [(r["day"], r["n"], r["sum_value"]) for r in got] == [(86400 * k, len(v), float(sum(v))) for k in range(5) if (v := range(12 * k, min(50, 12 * k + 12)))]
+
+
+def test_short_numbers_and_timing(spark):
+    from momenta.plans.timing import short, timed
+
+    assert [short(n) for n in (1_000_000, 25_400, 1_000, 999, 7, 123_456_789)] == ["001M", "025K", "001K", "999", "007", "123M"]
+    assert len(timed(spark.range(3), 2)) == 2
