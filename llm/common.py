@@ -2,38 +2,47 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
-STEP_BYTES = 2 << 20
-
+from momenta.sources.files import scratch, shared_dir  # noqa: F401
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; a temporary one only where none is set (local runs)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        at = tempfile.mkdtemp(prefix="shared-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+#: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
+STEP_BYTES = 512 << 10
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@functools.cache
+def _libc() -> ctypes.CDLL:
+    return ctypes.CDLL(None)
+
+
+def tidy() -> None:
+    """Give freed memory back to the system: a worker lives on beside others after its task."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+def part_rows(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` bytes of a column (one row at least)."""
+    for lo, hi in steps(texts(batch.column(column))[1], most):
+        yield batch.slice(lo, hi - lo)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow over batches; `fn` maps a batch to columns (a dict) or None."""
 
@@ -43,6 +52,8 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema
                 out = fn(batch)
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out)
+                del out
+                tidy()
 
     return df.mapInArrow(run, schema)
 
@@ -80,13 +91,13 @@ _RNG = np.random.default_rng(20240607)
 _VALUES = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C17)
 _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_POWERS: list[np.ndarray] = []
+#: Bytes that are hashed at once.
+_BLOCK = 64 << 10
 
 
-def _powers(n: int) -> list[np.ndarray]:
-    if not _POWERS or len(_POWERS[0]) < n:
-        _POWERS[:] = [np.cumprod(np.concatenate([[np.uint64(1)], np.full(max(n, STEP_BYTES) + 1, b, np.uint64)])) for b in (_BASE, _BASE_INVERSE)]
-    return _POWERS
+@functools.cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    return tuple(np.cumprod(np.concatenate([[np.uint64(1)], np.full(_BLOCK, b, np.uint64)])) for b in (_BASE, _BASE_INVERSE))
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -121,10 +132,27 @@ class Words:
         self.start = np.flatnonzero(inside & ~before)
         self.end = np.flatnonzero(inside & ~after) + 1
         self.first = np.searchsorted(self.start, offsets)
-        power, inverse = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUES[self.raw] * power[:n], out=sums[1:])
-        self.hash = mix((sums[self.end] - sums[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = np.zeros(len(self.start), np.uint64)
+        power, inverse = _powers()
+        lo = 0
+        while lo < len(self.start):
+            a = self.start[lo]
+            hi = int(np.searchsorted(self.end, a + _BLOCK, "right"))
+            if hi > lo:
+                raw = self.raw[a : self.end[hi - 1]]
+                sums = np.zeros(len(raw) + 1, np.uint64)
+                np.cumsum(_VALUES[raw] * power[: len(raw)], out=sums[1:])
+                s, e = self.start[lo:hi] - a, self.end[lo:hi] - a
+                self.hash[lo:hi] = (sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64)
+                lo = hi
+            else:  # a word longer than a block
+                total, size = 0, int(self.end[lo] - a)
+                for at in range(0, size, _BLOCK):
+                    raw = self.raw[a + at : min(a + at + _BLOCK, self.end[lo])]
+                    total += int((_VALUES[raw] * power[: len(raw)]).sum()) * pow(int(_BASE), at, 1 << 64)
+                self.hash[lo] = total + size & (1 << 64) - 1
+                lo += 1
+        self.hash = mix(self.hash)
 
     def grams(self, k: int) -> np.ndarray:
         """Hash of the k words from each word on; the last k-1 of a text reach past its end."""

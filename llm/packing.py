@@ -28,16 +28,34 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import part_rows, tidy, written
 from .tokens import END_ID, encoder
 
 LENGTH, SHARD_BYTES = 4096, 8 << 20
+#: Text that is encoded at once, and that a packing task should get (whole shards, one after another).
+ENCODE_BYTES, TASK_BYTES = 2 << 20, 64 << 20
 #: BM25's k1 and b; terms in more than a DENSE-th of a shard's documents are kept as matrix rows.
 K1, B, DENSE = 1.2, 0.75, 8
 #: Places of a document's vector, sampled documents a leaf and in all, and ids of each that the sample keeps.
 DIM, LEAF, SAMPLE, SAMPLE_IDS = 128, 4, 32_000, 2_000
 
 
+def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, term, count) of the distinct terms of some documents, in that order."""
+    if not docs:
+        return (np.zeros(0, np.int32),) * 3
+    ids = np.concatenate(docs)
+    small = ids.dtype.itemsize <= 2 and len(docs) < 1 << 16
+    kind, shift = (np.uint32, 16) if small else (np.uint64, 32)
+    key = np.repeat(np.arange(len(docs), dtype=kind) << kind(shift), [len(d) for d in docs])
+    key |= ids.astype(kind)
+    key.sort()
+    lead = np.flatnonzero(np.concatenate([np.ones(min(1, len(key)), bool), key[1:] != key[:-1]]))
+    tf = np.diff(np.append(lead, len(key))).astype(np.int32)
+    key = key[lead]
+    return (key >> kind(shift)).astype(np.int32), (key & kind((1 << shift) - 1)).astype(np.int32), tf
+
+
 class Tree:
     """Leaves of documents that resemble each other, learnt from a sample; neighbouring leaves have neighbouring numbers."""
 
@@ -47,7 +65,7 @@ class Tree:
             df[np.unique(d)] += 1
         self.idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
         r = np.random.default_rng(8)
-        self.place, self.sign = r.integers(0, DIM, vocabulary), r.choice(np.array([-1, 1], np.float32), vocabulary)
+        self.place, self.signed = r.integers(0, DIM, vocabulary), self.idf * r.choice(np.array([-1, 1], np.float32), vocabulary)
         #: a node's axis, bound and children; a leaf is -1 - its number
         self.axes, self.bounds, self.sides = [], [], []
         self.leaves = 0
@@ -56,12 +74,15 @@ class Tree:
         self.axes = np.array(self.axes, np.float32).reshape(-1, DIM)
 
     def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
-        out = np.zeros((len(docs), DIM), np.float32)
-        for i, d in enumerate(docs):
-            terms, tf = np.unique(d, return_counts=True)
-            v = np.bincount(self.place[terms], self.sign[terms] * self.idf[terms] * (1 + np.log(tf)), DIM)
-            out[i] = v / (np.sqrt((v * v).sum()) or 1)
-        return out
+        """Unit vectors of the documents' weighted terms."""
+        n = len(docs)
+        doc, term, tf = counted(docs)
+        weight = self.signed[term]
+        often = np.flatnonzero(tf > 1)
+        weight[often] *= 1 + np.log(tf[often])
+        out = np.bincount(doc * np.int64(DIM) + self.place[term], weight, n * DIM).reshape(n, DIM)
+        size = np.sqrt((out * out).sum(1))
+        return (out / np.where(size, size, 1)[:, None]).astype(np.float32)
 
     def _grow(self, x: np.ndarray, leaves: int) -> int:
         if leaves > 1 and len(x) > LEAF:
@@ -80,13 +101,15 @@ class Tree:
         self.leaves += 1
         return -self.leaves
 
-    def leaf(self, doc: np.ndarray) -> int:
-        x, node = self.vectors([doc])[0], self.root
-        while node >= 0:
-            node = self.sides[node][int((x * self.axes[node]).sum() > self.bounds[node])]
+    def leaf(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Each document's leaf."""
+        x, node = self.vectors(docs), np.full(len(docs), self.root)
+        bounds, sides = np.array(self.bounds), np.array(self.sides, np.int64).reshape(-1, 2)
+        while len(at := np.flatnonzero(node >= 0)):
+            here = node[at]
+            node[at] = sides[here, ((x[at] * self.axes[here]).sum(1) > bounds[here]).astype(int)]
         return -1 - node
 
-
 def dealt(sizes: dict[int, int], shard_bytes: int) -> list[tuple[int, int, int]]:
     """(leaf, first shard, shards) of leaves and their bytes: small neighbours share a shard, large ones are cut."""
     out, shard, used = [], 0, 0
@@ -102,50 +125,64 @@ def dealt(sizes: dict[int, int], shard_bytes: int) -> list[tuple[int, int, int]]
 
 
 class Bm25:
-    """Index of one shard's documents over token ids: a matrix of the frequent terms, postings of the others."""
+    """Index of one shard's documents over token ids: a matrix of the frequent terms, postings of the others.
+
+    When half of its documents are used it is cut down to the others, so that a seed is
+    scored against little more than what is left; weights stay those of the whole shard.
+    """
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         sizes = np.array([len(d) for d in docs])
-        key = np.sort(np.repeat(np.arange(n, dtype=np.uint64), sizes) << np.uint64(32) | np.concatenate(docs).astype(np.uint64))
-        lead = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        tf = np.diff(np.append(lead, len(key)))
-        doc, term = (key[lead] >> np.uint64(32)).astype(np.int64), (key[lead] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        doc, term, tf = counted(docs)
         df = np.bincount(term)
         # a term of one document brings no neighbours
         use = df[term] > 1
         doc, term, tf = doc[use], term[use], tf[use]
         idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        weight = idf[term] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[doc] / sizes.mean()))
-        self.n = n
+        weight = idf[term] * tf * (K1 + 1) / (tf + (K1 * (1 - B + B * sizes / sizes.mean()))[doc])
         self.by_doc, self.doc_at = term, np.searchsorted(doc, np.arange(n + 1))
+        self.alive = np.arange(n)
         frequent = np.flatnonzero((df > 1) & (df * DENSE > n))
-        self.row = np.full(len(df), -1)
+        self.row = np.full(len(df), -1, np.int32)
         self.row[frequent] = np.arange(len(frequent))
         self.rows = np.zeros((len(frequent), n))
         often = self.row[term] >= 0
         self.rows[self.row[term[often]], doc[often]] = weight[often]
-        doc, term, weight = doc[~often], term[~often], weight[~often]
+        self._post(term[~often], doc[~often], weight[~often])
+
+    def _post(self, term: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> None:
+        """Postings by term; doc counts within `alive`."""
         order = np.argsort(term, kind="stable")
-        self.posted, self.weight = doc[order], weight[order]
-        self.term_at = np.searchsorted(term[order], np.arange(len(df) + 1))
+        self.posted_term, self.posted, self.weight = term[order], doc[order], weight[order]
+        self.term_at = np.searchsorted(self.posted_term, np.arange(len(self.row) + 1))
+
+    def _cut(self, unused: np.ndarray) -> None:
+        keep = unused[self.alive]
+        place = np.cumsum(keep) - 1
+        self.alive, self.rows = self.alive[keep], np.ascontiguousarray(self.rows[:, keep])
+        stay = keep[self.posted]
+        self._post(self.posted_term[stay], place[self.posted[stay]].astype(np.int32), self.weight[stay])
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with the seed, best first, ties (to nine digits) in order of place."""
+        if 2 * np.count_nonzero(unused) < len(self.alive):
+            self._cut(unused)
         terms = self.by_doc[self.doc_at[seed] : self.doc_at[seed + 1]]
-        if not len(terms):
+        if not len(terms) or not len(self.alive):
             return np.zeros(0, np.int64)
         row = self.row[terms]
         # row by row: equal documents get equal sums, and no threads of a matrix library
-        score = np.zeros(self.n)
+        score = np.zeros(len(self.alive))
         for r in row[row >= 0].tolist():
             score += self.rows[r]
-        cuts = [slice(self.term_at[t], self.term_at[t + 1]) for t in terms[row < 0]]
-        if cuts:
-            score += np.bincount(np.concatenate([self.posted[c] for c in cuts]), np.concatenate([self.weight[c] for c in cuts]), self.n)
+        rare = terms[row < 0]
+        begin, size = self.term_at[rare], self.term_at[rare + 1] - self.term_at[rare]
+        at = np.repeat(begin - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum()) if len(rare) else rare
+        score += np.bincount(self.posted[at], self.weight[at], len(self.alive))
         score = score.round(9)
-        found = np.flatnonzero((score > 0) & unused)
-        return found[np.argsort(-score[found], kind="stable")]
+        found = np.flatnonzero((score > 0) & unused[self.alive])
+        return self.alive[found[np.argsort(-score[found], kind="stable")]]
 
 
 def fill(docs: list[np.ndarray], length: int) -> list[tuple[int, int, int, int, int]]:
@@ -213,7 +250,8 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     if length & (length - 1):
         raise ValueError("length must be a power of two")
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    docs = docs.withColumn("spread", F.xxhash64("id", "text")).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)
+    # rows that are equal in all are told apart by their place, so that none of the cuts below keeps a group of them whole
+    docs = docs.withColumn("spread", F.xxhash64("id", "text", F.monotonically_increasing_id())).withColumn("bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 64)
     size, count = docs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     # twice as many leaves as shards, so that merged ones fill them
     leaves = 2 * -(-size // shard_bytes)
@@ -234,11 +272,12 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     def encode(batches):
         enc = encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1024):
-                part = batch.slice(lo, 1024)
-                ids = [x.tobytes() for x in enc.encode(part.column("text").to_pylist(), end_id)]
-                leaf = [tree.leaf(np.frombuffer(x, enc.dtype)) if tree else 0 for x in ids]
-                yield pa.RecordBatch.from_pydict({"leaf": pa.array(leaf, pa.int32()), "spread": part.column("spread"), "bytes": part.column("bytes"), "id": part.column("id"), "ids": pa.array(ids, pa.binary())})
+            for part in part_rows(batch, "text", ENCODE_BYTES):
+                ids = enc.encode(part.column("text").to_pylist(), end_id)
+                leaf = tree.leaf(ids) if tree else np.zeros(len(ids))
+                yield pa.RecordBatch.from_pydict({"leaf": pa.array(leaf.astype(np.int32)), "spread": part.column("spread"), "bytes": part.column("bytes"), "id": part.column("id"), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+                del ids, part
+        tidy()
 
     def shard_pieces(shard: int, keys: list, docs: list[np.ndarray]):
         pieces = fill(docs, length)
@@ -262,11 +301,13 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
                 if s != shard and held:
                     yield from shard_pieces(shard, keys, held)
                     keys, held = [], []
+                    tidy()
                 shard = s
                 keys.append(key)
                 held.append(np.frombuffer(ids.as_buffer().to_pybytes(), dtype))
         if held:
             yield from shard_pieces(shard, keys, held)
+        tidy()
 
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
     coded = docs.mapInArrow(encode, "leaf int, spread long, bytes long, id long, ids binary")
@@ -277,5 +318,7 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         coded = coded.join(F.broadcast(places), "leaf").withColumn("shard", F.col("first") + F.pmod("spread", "parts"))
     else:
         coded = coded.withColumn("shard", F.lit(0).cast("long"))
-    parted = coded.select("shard", "id", "ids").repartition("shard").sortWithinPartitions("shard", "id")
+    tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    # equal ids are ordered by their rows' hash, so that a shard's order is always the same
+    parted = coded.select("shard", "id", "spread", "ids").repartition(tasks, "shard").sortWithinPartitions("shard", "id", "spread")
     return parted.mapInArrow(run, schema).withColumnRenamed("id", id_col)

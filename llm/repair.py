@@ -3,22 +3,23 @@
 Documents are range-partitioned by id, so that shards hold consecutive ranges in
 ascending order; a shard's documents are encoded and cut into blocks of about
 `BLOCK_IDS` ids.  In each block the most frequent id pairs are replaced by
-nonterminals, round after round, until no pair occurs `LEAST` times or `ROUNDS` is
-reached; a round replaces up to `RULES` pairs at once, left to right without overlap
-and never across documents.  A block stores its rules, the length that each
-nonterminal expands to and where each document's symbols begin, so one document is
-decoded without the others.
-
-Block format (little-endian): b"RPG1", then six uint64 (documents, symbols, rules,
-first nonterminal, ids of the block, ids of the shard before the block), then arrays:
-document keys int64, key present uint8, first symbols uint64 (documents + 1), first
-ids uint64 (documents + 1), rules 2 x uint32, expansion lengths uint32, symbols uint32,
-and a final crc32 uint32 of all before it.  Blocks are the rows of a Parquet table
-(shard, block, n_ids, data): Spark's writers commit them, so lost tasks leave no half
-files.  Reading checks the crc.
+nonterminals, round after round, until no pair occurs `LEAST` times; a round replaces
+up to `RULES` pairs at once, left to right without overlap and never across documents.
+A block stores its rules, the length that each nonterminal expands to and where each
+document's symbols begin, so one document is decoded without the others.
+
+Block format: b"RPG2", then six little-endian uint64 (documents, symbols, rules, first
+nonterminal, ids of the block, ids of the shard before the block), then bit-packed
+arrays: keys less their smallest (and that one as int64), key present, symbols a
+document, ids a document, rules, expansion lengths, symbols; and a final little-endian
+crc32 of all before it.  A bit-packed array is its width (one byte) and its numbers, high
+bits first, filled up to whole bytes.  Blocks are the rows of a Parquet table (shard, block,
+n_ids, data): Spark's writers commit them, so lost tasks leave no half files.  Reading
+checks the crc.
 
 Defined cases: a null text is empty; a null doc_id sorts first and is read back as
-null; repeated ids are written each; an empty table gives no blocks.
+null; rows that repeat an id are written each, in order of a hash of their texts; other
+columns are ignored; a long text may make its block longer; an empty table gives no blocks.
 """
 
 from __future__ import annotations
@@ -32,32 +33,61 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, tidy, written
 from .tokens import END_ID, encoder
 
-BLOCK_IDS, ROUNDS, RULES, LEAST = 1 << 20, 6, 1024, 16
+BLOCK_IDS, RULES, LEAST = 1 << 20, 16_384, 16
 #: Bytes of text a shard should hold.
 SHARD_BYTES = 16 << 20
+#: Shards (a row of two numbers each) up to which their offsets are broadcast.
+FEW_SHARDS = 1_000_000
 
-_MAGIC = b"RPG1"
+_MAGIC = b"RPG2"
 _HEAD = struct.Struct("<6Q")
 _BITS = 18
 
 
-def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUNDS, most: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def packed_bits(x: np.ndarray) -> bytes:
+    """Numbers below 2^64 in as many bits each as the largest needs."""
+    width = int(x.max()).bit_length() if len(x) else 0
+    kind = ">u4" if width <= 32 else ">u8"
+    size = np.dtype(kind).itemsize
+    parts = [bytes([width])]
+    for lo in range(0, len(x) if width else 0, 1 << 16):  # a multiple of eight numbers ends with a whole byte
+        bits = np.unpackbits(x[lo : lo + (1 << 16)].astype(kind).view(np.uint8).reshape(-1, size), axis=1)
+        parts.append(np.packbits(bits[:, 8 * size - width :]).tobytes())
+    return b"".join(parts)
+
+
+def unpacked_bits(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
+    """(numbers as uint64, place after them)."""
+    width, at = data[at], at + 1
+    out = np.zeros(n, np.uint64)
+    kind = ">u4" if width <= 32 else ">u8"
+    size = np.dtype(kind).itemsize
+    for lo in range(0, n if width else 0, 1 << 16):
+        part = min(1 << 16, n - lo)
+        raw = np.frombuffer(data, np.uint8, -(-part * width // 8), at)
+        at += len(raw)
+        bits = np.zeros((part, 8 * size), np.uint8)
+        bits[:, 8 * size - width :] = np.unpackbits(raw, count=part * width).reshape(part, width)
+        out[lo : lo + part] = np.packbits(bits, axis=1).view(kind).ravel()
+    return out, at
+
+
+def compress(ids: np.ndarray, starts: np.ndarray, first: int, most: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbol starts, rules, expansion lengths) of concatenated documents; `first` is the first free symbol."""
     seq = ids.astype(np.uint32)
     head = np.zeros(len(seq) + 1, bool)  # begins a document
     head[starts] = True
     rules, lengths = np.zeros((0, 2), np.uint32), np.zeros(0, np.uint32)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
+    every = False
+    while len(seq) > 1:
         # counts of hashed pairs bound those of the pairs: only pairs of full cells are counted one by one
         cell = (seq[:-1] * np.uint32(0x9E3779B1) ^ seq[1:] * np.uint32(0x85EBCA77)) >> np.uint32(32 - _BITS)
         inner = ~head[1 : len(seq)]
         counts = np.bincount(cell[inner], minlength=1 << _BITS)
-        bound = max(least, int(np.partition(counts, -2 * most)[-2 * most]))
+        bound = least if every else max(least, int(np.partition(counts, -2 * most)[-2 * most]))
         at = np.flatnonzero((counts >= bound)[cell] & inner)
         keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
         order = np.argsort(keys)
@@ -67,7 +97,11 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, rounds: int = ROUN
         best = np.argsort(-size, kind="stable")[:most]
         best = np.sort(best[size[best] >= least])
         if not len(best):
-            break
+            if bound == least:
+                break
+            every = True  # the fullest cells had none; look at all
+            continue
+        every = False
         rank = np.full(len(lead), -1)
         rank[best] = np.arange(len(best))
         chosen = np.empty(len(keys), np.int64)
@@ -110,11 +144,12 @@ def pack(keys: list[int | None], docs: list[np.ndarray], first: int, before: int
     if (sizes == 0).any():
         raise ValueError("a document needs one id at least")
     seq, symbols, rules, lengths = compress(np.concatenate(docs), starts[:-1], first, **options)
-    parts = [
-        _MAGIC, _HEAD.pack(len(docs), len(seq), len(rules), first, int(starts[-1]), before), np.array([k or 0 for k in keys], "<i8").tobytes(), np.array([k is not None for k in keys], np.uint8).tobytes(),
-        symbols.astype("<u8").tobytes(), starts.astype("<u8").tobytes(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), seq.astype("<u4").tobytes(),
-    ]
-    data = b"".join(parts)
+    known = np.array([k is not None for k in keys], bool)
+    low = min((k for k in keys if k is not None), default=0)
+    offset = np.array([0 if k is None else k - low for k in keys], np.uint64)
+    arrays = (offset, known, np.diff(symbols), sizes, rules.ravel(), lengths, seq)
+    head = _HEAD.pack(len(docs), len(seq), len(rules), first, int(starts[-1]), before) + struct.pack("<q", low)
+    data = _MAGIC + head + b"".join(map(packed_bits, arrays))
     return data + struct.pack("<I", zlib.crc32(data))
 
 
@@ -126,18 +161,15 @@ class Block:
             raise ValueError("not a sound block")
         docs, symbols, rules, self.first, self.n_ids, self.before = _HEAD.unpack_from(data, 4)
         at = 4 + _HEAD.size
-
-        def take(kind: str, n: int) -> np.ndarray:
-            nonlocal at
-            out = np.frombuffer(data, kind, n, at)
-            at += out.nbytes
-            return out
-
-        keys, known = take("<i8", docs), take("u1", docs)
-        self.keys = [int(k) if p else None for k, p in zip(keys, known)]
-        self.symbol_starts, self.starts = take("<u8", docs + 1).astype(np.int64), take("<u8", docs + 1).astype(np.int64)
-        self.rules, self.lengths = take("<u4", 2 * rules).reshape(-1, 2), take("<u4", rules)
-        self.symbols = take("<u4", symbols)
+        (low,) = struct.unpack_from("<q", data, at)
+        arrays, at = [], at + 8
+        for n in (docs, docs, docs, docs, 2 * rules, rules, symbols):
+            x, at = unpacked_bits(data, at, n)
+            arrays.append(x)
+        offset, known, counts, sizes, pairs, lengths, self.symbols = arrays
+        self.keys = [low + k if p else None for k, p in zip(offset.tolist(), known.tolist())]
+        self.symbol_starts, self.starts = (np.concatenate([[0], np.cumsum(x.astype(np.int64))]) for x in (counts, sizes))
+        self.rules, self.lengths, self.symbols = pairs.astype(np.uint32).reshape(-1, 2), lengths.astype(np.uint32), self.symbols.astype(np.uint32)
         self.flat, self.offsets = _expansions(self.rules, self.lengths, self.first)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
@@ -160,6 +192,8 @@ class Block:
 def write_ids(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, path: str | None = None, block_ids: int = BLOCK_IDS) -> DataFrame:
     """Encode and write `documents`; the blocks (shard, block, n_ids, data) as read back."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    # rows that share an id are ordered, and cut, by their texts, equal ones by their place
+    docs = docs.withColumn("h", F.xxhash64("text")).withColumn("m", F.monotonically_increasing_id())
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
 
@@ -189,8 +223,9 @@ def write_ids(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text
                         yield flush()
         if held:
             yield flush()
+        tidy()
 
-    dealt = docs.repartitionByRange(shards, "id").sortWithinPartitions("id")
+    dealt = docs.repartitionByRange(shards, "id", "h", "m").sortWithinPartitions("id", "h", "m").select("id", "text")
     blocks = dealt.mapInArrow(run, "shard int, block int, n_ids long, data binary")
     if path is None:
         return written(blocks, "ids")
@@ -216,7 +251,8 @@ def read_ids(blocks: DataFrame) -> DataFrame:
                 sums.append(zlib.crc32(raw[4 * lo : 4 * hi]))
         return {"id": pa.array(keys, pa.int64()), "start": pa.array(starts, pa.int64()), "n_tokens": pa.array(sizes, pa.int64()), "ids_crc32": pa.array(sums, pa.int64())}
 
-    return arrow_map(blocks.join(F.broadcast(base), "shard").select("data", "base"), run, "id long, start long, n_tokens long, ids_crc32 long")
+    few = (blocks.agg(F.max("shard")).first()[0] or 0) < FEW_SHARDS
+    return arrow_map(blocks.join(F.broadcast(base) if few else base, "shard").select("data", "base"), run, "id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_ids(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

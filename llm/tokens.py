@@ -11,20 +11,19 @@ from __future__ import annotations
 
 import os
 import re
-from itertools import compress, repeat
-from operator import is_
 
 import numpy as np
 
 #: Chunks kept per Python worker; about 150 bytes each.
-CACHE_ENTRIES = 1_000_000
+CACHE_ENTRIES = 200_000
 #: Appended to every document by the queries.
 END_ID = 2
 
 _MARKS = re.compile("[̀-ͯ]")
 #: Signs that the vocabulary's pre-tokenizer cuts off a word as one run; the apostrophe begins contractions.
 _CLOSING = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-_LAST_LATIN = "ɏ"
+#: A word of small Latin letters (they compose with nothing) and the signs that close it.
+_PLAIN = re.compile("([{}]+)([{}]*)".format("".join(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c), re.escape(_CLOSING)))
 
 
 def _byte_alphabet() -> str:
@@ -34,7 +33,10 @@ def _byte_alphabet() -> str:
     return "".join(chr(b) if b in plain else chr(next(spare)) for b in range(256))
 
 
-_BYTES = _byte_alphabet()
+#: For text whose bytes were read as Latin-1; the space stays, as it parts words.
+_BYTES = {b: c for b, c in enumerate(_byte_alphabet()) if b != 32}
+#: Words that the library gets in one text.
+_AT_ONCE = 64
 
 
 class Encoder:
@@ -49,7 +51,7 @@ class Encoder:
         self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
         # For lower-case words: the same merges, words apart at spaces.  Each word's
         # last id, and no other, has the end-of-word suffix.
-        self.words = Tokenizer(Tokenizer.from_file(path).model)
+        self.words = Tokenizer(self.whole.model)
         self.words.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
         suffix = self.words.model.end_of_word_suffix
         if not suffix:
@@ -69,28 +71,31 @@ class Encoder:
 
     def _learn(self, chunks: set[str]) -> None:
         cache = self.cache
-        tails, words, rest = [], {}, set()
+        tails, words, rest, plain = [], {}, set(), _PLAIN.fullmatch
         for c in chunks:
-            stem = c.rstrip(_CLOSING)
-            if stem.isalpha() and (stem.isascii() or max(stem) <= _LAST_LATIN) and stem == stem.lower():
-                if len(stem) < len(c):
-                    tail = c[len(stem) :]
-                    tails.append((c, stem, tail))
-                    if tail not in cache:
-                        rest.add(tail)
-                if stem not in cache:
-                    words[stem] = stem if stem.isascii() else "".join([_BYTES[b] for b in stem.encode()])
-            else:
+            m = plain(c)
+            if m is None:
                 rest.add(c)
+                continue
+            stem, tail = m.groups()
+            if tail:
+                tails.append((c, stem, tail))
+                if tail not in cache:
+                    rest.add(tail)
+                if stem in cache:
+                    continue
+            words[stem] = None
         for key, e in zip(rest, self.whole.encode_batch_fast(list(rest), add_special_tokens=False)):
             cache[key] = np.array(e.ids, self.dtype).tobytes()
         if words:
-            ids = np.array(self.words.encode_batch_fast([" ".join(words.values())], add_special_tokens=False)[0].ids, self.dtype)
+            keys = list(words)
+            texts = [" ".join(keys[at : at + _AT_ONCE]).encode().decode("latin-1").translate(_BYTES) for at in range(0, len(keys), _AT_ONCE)]
+            ids = np.array([i for e in self.words.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], self.dtype)
             stops = ((np.flatnonzero(self.ends[ids]) + 1) * self.dtype.itemsize).tolist()
-            if len(stops) != len(words):
+            if len(stops) != len(keys):
                 raise ValueError("word ends and words differ in number")
             raw, at = ids.tobytes(), 0
-            for key, stop in zip(words, stops):
+            for key, stop in zip(keys, stops):
                 cache[key] = raw[at:stop]
                 at = stop
         for c, stem, tail in tails:
@@ -103,22 +108,12 @@ class Encoder:
         for at in range(0, len(texts), 64):
             if len(self.cache) > self.limit:
                 self.cache = {"": b""}
-            get, join = self.cache.get, b"".join
-            raws: list[bytes | None] = []
-            lacking, unseen = [], set()
-            for text in texts[at : at + 64]:
-                words = self._chunks(text or "")
-                ids = list(map(get, words))
-                try:
-                    raws.append(join(ids))
-                except TypeError:  # a chunk is unseen
-                    lacking.append((len(raws), words))
-                    raws.append(None)
-                    unseen.update(compress(words, map(is_, ids, repeat(None))))
+            chunks = [self._chunks(text or "") for text in texts[at : at + 64]]
+            unseen = set().union(*chunks).difference(self.cache)
             if unseen:
                 self._learn(unseen)
-                for i, words in lacking:
-                    raws[i] = join(map(get, words))
+            get, join = self.cache.__getitem__, b"".join
+            raws = [join(map(get, words)) for words in chunks]
             out += [np.frombuffer(raw + end, self.dtype) for raw in raws]
         return out
 
