@@ -43,6 +43,22 @@ def part_rows(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.Reco
         yield batch.slice(lo, hi - lo)
 
 
+def free_names(df: DataFrame, *names: str) -> tuple[str, ...]:
+    """The names, each with as many underscores before it as no column of the frame has (whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+        taken.add(name.lower())
+    return tuple(out)
+
+
+def replaced(df: DataFrame, *names: str) -> DataFrame:
+    """The frame without columns of these names, which an operator is to add."""
+    return df.drop(*(c for c in df.columns if c.lower() in {n.lower() for n in names}))
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], dict | None], schema: str) -> DataFrame:
     """mapInArrow over batches; `fn` maps a batch to columns (a dict) or None."""
 
