@@ -215,6 +215,24 @@ def spark_hash(x: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
+#: Bytes that a task of a shuffle by a plain key should get.
+TASK_BYTES = 64 << 20
+
+
+def tasks(df: DataFrame, size: int) -> int:
+    """Tasks for `size` bytes: the session's number at least."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """`rows` with the `facts` of their keys, one row a key, where a key may have very many rows.
+
+    Facts are written first and both sides sorted by key, so that adaptive execution sees two
+    plain shuffles and cuts the rows of a hot key among tasks.
+    """
+    return rows.join(written(facts, "facts").hint("merge"), keys, how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) edges of longs -> (id, label), label the smallest id reachable.
 
@@ -229,10 +247,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: larger neighbours go to the smallest of the neighbourhood
         sym = both(edges)
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        big = sym.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        big = joined(sym, low, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        big = written(big, "star")
         # small star: smaller neighbours and the node itself go to the smallest
         low = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(low, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = joined(big, low, ["a"]).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:

@@ -4,18 +4,20 @@ Words are runs of digits, letters and non-ASCII characters of the text with A-Z
 lower-cased.  A benchmark window is `window` consecutive item words; an item with
 fewer words is one window.  Fingerprints are the minimum `k`-gram hashes of every
 `window - k + 1` consecutive k-grams, so any shared span of `window` words shares
-one.  A document's fingerprints are joined with the benchmark's; each hit is
-extended to the windows around it, which must match word by word (64-bit hashes of
-all their words).  Items too short to be winnowed are matched by one hash of their
-own length at every word.
+one.  An item too short to be winnowed has one fingerprint, the hash of all its words, held
+against as many document words from every word on.
 
-The benchmark is a stated query set: it is cut into blocks of at most
-`BLOCK_WORDS` words, and each block is sent to the executors and held against all
-documents, one after another.  Documents are not shuffled.
+Documents' fingerprints that pass a filter of bounded size over the benchmark's are joined with
+those; the items of the join are the only ones that can occur anywhere.  Their windows go to
+the executors, and each document's hits are extended to the windows around them where the text
+lies, word by word (64-bit hashes of all their words).  Documents are read twice and never shuffled;
+items that occur are sent in blocks of at most `BLOCK_WORDS` words, and each block beyond the first
+`CHAIN` writes the documents once more.
 
 Defined cases: null or wordless documents have no words and no hits; items with a
-null id or without words are ignored; repeated items count once; an empty benchmark
-hits nothing; documents' other columns are kept by `annotate`.
+null id or without words are ignored; rows of items that repeat count once; an empty benchmark
+hits nothing; an empty table gives no rows; a very long text is one step of its own; documents'
+other columns are kept by `annotate`, but one named as its output gives way to it.
 """
 
 from __future__ import annotations
@@ -28,9 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, lookup, steps, texts, written
+from .common import Words, arrow_map, id_filter, in_filter, lookup, mix, replaced, steps, texts, tidy, written
 
 WINDOW, K, BLOCK_WORDS = 10, 5, 1_000_000
+#: Blocks that one pass over the documents takes, each in a worker of its own.
+CHAIN = 2
 
 _WORD = lookup(lambda b: 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80)
 
@@ -124,30 +128,72 @@ def _in(x: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == x, at, -1)
 
 
-def _blocks(benchmark: DataFrame, id_col: str, text_col: str, window: int, k: int, block_words: int) -> Iterator[Index]:
-    ids, items, words = [], [], 0
-    rows = benchmark.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).cast("string"), F.col(text_col).cast("string"))
-    for name, text in rows.toLocalIterator():
+def _prints(w: Words, n: int, window: int, k: int) -> np.ndarray:
+    """Fingerprints as longs: selected k-grams, or for items under `window` words runs of their length n."""
+    if n == window:
+        chosen, grams = _winnowed(w, k, window)
+        return mix(grams[chosen] ^ np.uint64(window)).view(np.int64)
+    return mix(w.grams(n)[_starts(w, n)] ^ np.uint64(n)).view(np.int64)
+
+
+def occurring(documents: DataFrame, items: DataFrame, window: int, k: int) -> DataFrame:
+    """The `items` (item, text) that share a fingerprint with a document (text)."""
+
+    def of_items(batch: pa.RecordBatch) -> dict | None:
+        raw, offsets = texts(batch.column("text"))
+        out: list[tuple[int, int, str]] = []
+        for lo, hi in steps(offsets):
+            for i in range(lo, hi):
+                w = Words(raw[offsets[i] : offsets[i + 1]], offsets[i : i + 2] - offsets[i], _WORD)
+                n = min(len(w.hash), window)
+                name = batch.column("item")[i].as_py()
+                out += [(int(x), n, name) for x in (np.unique(_prints(w, n, window, k)) if n else ())]
+        ids, sizes, names = zip(*out) if out else ((), (), ())
+        return {"id": pa.array(ids, pa.int64()), "n": pa.array(sizes, pa.int32()), "item": pa.array(names, pa.string())}
+
+    prints = written(arrow_map(items, of_items, "id long, n int, item string"), "prints")
+    sizes = [r["n"] for r in prints.select("n").distinct().collect()]  # at most `window` numbers
+    if not sizes:
+        return items.limit(0)
+    wanted = documents.sparkSession.sparkContext.broadcast(id_filter(prints.select("id").distinct()))
+
+    def of_documents(batch: pa.RecordBatch) -> dict:
+        raw, offsets = texts(batch.column("text"))
+        found = []
+        for lo, hi in steps(offsets):
+            w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], _WORD)
+            for n in sizes:
+                got = _prints(w, n, window, k)
+                found.append(np.unique(got[in_filter(wanted.value, got)]))
+        return {"id": pa.array(np.unique(np.concatenate(found)))}
+
+    shared = arrow_map(documents.select("text"), of_documents, "id long").distinct()
+    return items.join(prints.join(shared, "id").select("item").distinct(), "item", "left_semi")
+
+
+def _blocks(items: DataFrame, window: int, k: int, block_words: int) -> Iterator[Index]:
+    ids, held, words = [], [], 0
+    for name, text in items.select("item", "text").toLocalIterator():  # a block at a time is held
         ids.append(name)
-        items.append(text)
+        held.append(text)
         words += len(text) // 2 + 1
         if words >= block_words:
-            yield Index(ids, items, window, k)
-            ids, items, words = [], [], 0
-    if items:
-        yield Index(ids, items, window, k)
+            yield Index(ids, held, window, k)
+            ids, held, words = [], [], 0
+    if held:
+        yield Index(ids, held, window, k)
 
 
-def annotate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """`documents` with a struct `contamination`: n_words, hits (hit words' numbers), items (ids as sorted strings)."""
+def annotate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS, name: str = "contamination") -> DataFrame:
+    """`documents` with a struct `name`: n_words, hits (hit words' numbers), items (ids as sorted strings)."""
     if not 1 <= k <= window:
         raise ValueError("1 <= k <= window")
-    spark, mark = documents.sparkSession, "contamination"
-    if mark in documents.columns:
-        raise ValueError(f"the documents have a column {mark} already")
+    documents = replaced(documents, name)
+    spark, columns = documents.sparkSession, documents.columns
     kind = T.StructType().add("n_words", "long").add("hits", T.ArrayType(T.IntegerType())).add("items", T.ArrayType(T.StringType()))
-    out, first, columns = documents, True, documents.columns
-    schema = T.StructType([*documents.schema.fields, T.StructField(mark, kind)])
+    schema = T.StructType([*documents.schema.fields, T.StructField(name, kind)])
+    items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("string").alias("item"), F.col(item_text).cast("string").alias("text"))
+    found = written(occurring(documents.select(F.col(text_col).cast("string").alias("text")), items, window, k), "items")
 
     def step(shared, again: bool):
         def run(batches):
@@ -156,7 +202,7 @@ def annotate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
                 if not batch.num_rows:
                     continue
                 raw, offsets = texts(batch.column(text_col).cast(pa.string()))
-                before = batch.column(mark).to_pylist() if again else None
+                before = batch.column(name).to_pylist() if again else None
                 n_words, hits, items = [], [], []
                 for lo, hi in steps(offsets):
                     w = Words(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], _WORD)
@@ -174,16 +220,18 @@ def annotate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text",
                     items = [sorted({*b["items"], *x}) for b, x in zip(before, items)]
                 made = pa.StructArray.from_arrays([pa.array(n_words, pa.int64()), pa.array(hits, pa.list_(pa.int32())), pa.array(items, pa.list_(pa.string()))], names=["n_words", "hits", "items"])
                 keep = {c: batch.column(c) for c in columns}
-                yield pa.RecordBatch.from_arrays([*keep.values(), made], names=[*keep, mark])
+                yield pa.RecordBatch.from_arrays([*keep.values(), made], names=[*keep, name])
+                tidy()
 
         return run
 
-    for index in _blocks(benchmark, item_id, item_text, window, k, block_words):
-        if not first:
+    out, done = documents, 0
+    for index in _blocks(found, window, k, block_words):
+        if done and done % CHAIN == 0:
             out = written(out, "contamination")
-        out = out.mapInArrow(step(spark.sparkContext.broadcast(index), not first), schema)
-        first = False
-    if first:
+        out = out.mapInArrow(step(spark.sparkContext.broadcast(index), done > 0), schema)
+        done += 1
+    if not done:
         out = out.mapInArrow(step(spark.sparkContext.broadcast(Index([], [], window, k)), False), schema)
     return out
 

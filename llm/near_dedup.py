@@ -20,9 +20,15 @@ such candidates a member emits none: its leaf is dealt again, with full sets, in
 blocks of about `TOKENS` shingles, which are compared exactly where they are and
 emit a spanning forest of links.  So no step emits more than a few rows a member.
 
+Classes rest on the size and two 64-bit sums of hashes of a set; links between classes on
+the full sets of 64-bit hashes.  Keys that many rows share (a node of near copies, a class
+of equal texts, the hub of a star) are joined so that adaptive execution can cut them.
+
 Defined cases: null, empty or wordless texts have an empty set and link with
 nothing; rows with null ids take part in nothing and are components of none (null);
-rows that repeat an id count as one vertex; other columns are ignored.
+rows that repeat an id are one vertex, which links all their texts; a very long text is
+hashed in steps, its set alone is held whole; an empty table gives no rows; other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,12 +40,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, components, id_filter, in_filter, lookup, mix, steps, texts, written
+from .common import Words, arrow_map, components, id_filter, in_filter, joined, lookup, mix, steps, tasks, texts, tidy, written
 
 TREES, DEPTH, SMALL, BLOCK, BINS = 12, 3, 64, 2048, 128
 DENSE, TOKENS = 4, 500_000
 #: Confirmations of one text that share a task.
 SHARE = 256
+#: About the bytes of a leaf's row; leaves (rows of two numbers) up to which their cuts are broadcast.
+ROW_BYTES, FEW = 200, 100_000
 
 _WORD = lookup(lambda b: b not in (0x20, *range(0x09, 0x0E)))
 
@@ -66,6 +74,7 @@ def _long(x: np.ndarray) -> np.ndarray:
 
 def _features(k: int):
     def run(batch: pa.RecordBatch) -> dict:
+        """What a batch's texts are dealt and compared by."""
         raw, offsets = texts(batch.column("text"))
         out: dict[str, list] = {c: [] for c in ("n", "s1", "s2", "sketch", "path")}
         for lo, hi in steps(offsets):
@@ -131,7 +140,7 @@ def _leaves(reps: DataFrame) -> DataFrame:
     for d in range(DEPTH):
         count = rows.groupBy(f"k{d}").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
         # written, so that a level is dealt out once and not again for every later one
-        nodes = written(rows.join(count, f"k{d}"), "nodes")
+        nodes = written(joined(rows, count, [f"k{d}"]), "nodes")
         small = nodes if d == DEPTH - 1 else nodes.where(F.col("c") <= SMALL)
         found.append(small.select(F.col(f"k{d}").alias("key"), F.col("c").alias("members"), "id"))
         rows = nodes.where(F.col("c") > SMALL).drop("c", f"k{d}")
@@ -166,6 +175,8 @@ def _by_block(work, schema: dict[str, pa.DataType]):
                 held.append(part)
         if held:
             yield from flush(pa.concat_tables(held))
+        held = []
+        tidy()
 
     return run
 
@@ -284,8 +295,9 @@ def _dealt(leaves: DataFrame, blocks: Column, every: bool) -> DataFrame:
 def _candidates(leaves: DataFrame, share: float, every: bool, dense: float = DENSE) -> DataFrame:
     """Pairs of `leaves` (key, members, id, n, sketch, comp) worth a confirmation, with their leaf's key; null pairs for dense leaves."""
     mixed = leaves.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    cast = _dealt(leaves.join(mixed, "key"), F.ceil(F.col("members") / BLOCK).cast("int"), every)
-    dealt = cast.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
+    cast = _dealt(joined(leaves, mixed, ["key"]), F.ceil(F.col("members") / BLOCK).cast("int"), every)
+    # rows of blocks, each with its sketch, twice where leaves have more than one block
+    dealt = cast.repartition(tasks(leaves, 2 * ROW_BYTES * leaves.count()), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id")
     return dealt.mapInArrow(_compare(share, every, dense), "a long, b long, key long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "key").where("a is null or a <> b")
 
 
@@ -295,9 +307,11 @@ def _linked(leaves: DataFrame, keys: DataFrame, docs: DataFrame, k: int, percent
     chosen = docs.sparkSession.sparkContext.broadcast(id_filter(rows.select("id").distinct()))
     sets = written(arrow_map(docs.where("id is not null"), _sets(k, chosen), "id long, tokens binary").where(F.octet_length("tokens") > 0), "sets")
     sizes = rows.groupBy("key").agg(F.ceil(F.sum("n") / TOKENS).cast("int").alias("cuts"))
-    cast = _dealt(rows.join(sizes, "key"), F.col("cuts"), True).drop("cuts", "n")
+    cast = _dealt(joined(rows, sizes, ["key"]), F.col("cuts"), True).drop("cuts", "n")
+    # a row's set goes to every block of its leaf
+    volume = rows.join(F.broadcast(sizes) if sizes.count() < FEW else sizes, "key").agg(F.sum(8 * F.col("n") * F.col("cuts"))).first()[0] or 0
     full = cast.join(sets, "id").withColumn("n", F.octet_length("tokens") / 8).select("key", "p", "q", "side", "id", F.col("n").cast("long").alias("n"), "comp", "tokens")
-    return written(full.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(_exact(percent), "a long, b long"), "links")
+    return written(full.repartition(tasks(rows, volume), "key", "p", "q").sortWithinPartitions("key", "p", "q", "id").mapInArrow(_exact(percent), "a long, b long"), "links")
 
 
 def _confirm(percent: int):
@@ -328,13 +342,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, dense: float = DENSE) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (smallest id linked), kept."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    share = percent / 100
     feats = written(arrow_map(docs, _features(k), "id long, n long, s1 long, s2 long, sketch binary, path array<long>"), "features")
     full = feats.where("n > 0 and id is not null")
-    classes = written(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
-    # by the id alone, so that a text's features are dealt out once; its class must be the same
-    same = (F.col("f.id") == F.col("c.rep")) & (F.col("f.s1").bitwiseXOR(F.col("c.s1")) == 0) & (F.col("f.s2").bitwiseXOR(F.col("c.s2")) == 0)
-    reps = full.alias("f").join(classes.alias("c"), same, "left_semi").dropDuplicates(["id"])
+    own = F.struct("n", "s1", "s2")
+    if not full.groupBy("id").agg(F.min(own).alias("lo"), F.max(own).alias("hi")).where("lo <> hi").isEmpty():
+        out = _of_repeated(docs, k, percent, dense)
+    else:
+        classes = written(full.groupBy("n", "s1", "s2").agg(F.min("id").alias("rep")), "classes")
+        labels = _labels(docs, full, classes, k, percent, dense)
+        member = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("component_id"))
+        # empty sets need no class, and are many in some tables
+        bare = feats.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
+        out = joined(feats.where("n > 0"), member, ["n", "s1", "s2"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id")).union(bare)
+    out = out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+
+
+def _of_repeated(docs: DataFrame, k: int, percent: int, dense: float) -> DataFrame:
+    """(id, n, component_id) where an id has several texts: rows get numbers, and those of one id are linked."""
+    rows = written(docs.withColumn("row", F.monotonically_increasing_id()), "rows")
+    found = written(near_duplicates(rows, "row", "text", k, percent, dense).withColumnRenamed("component_id", "part").join(rows.select("row", "id"), "row"), "parts")
+    some = found.where("id is not null and n_shingles > 0")
+    links = joined(some, some.groupBy("id").agg(F.min("part").alias("first")), ["id"]).select(F.col("part").alias("a"), F.col("first").alias("b"))
+    labels = components(links).withColumnRenamed("id", "part")
+    placed = written(joined(found, labels, ["part"], "left").withColumn("part", F.coalesce("label", "part")), "placed")
+    least = placed.where("id is not null").groupBy("part").agg(F.min("id").alias("component_id"))
+    return joined(placed, least, ["part"], "left").select("id", F.col("n_shingles").alias("n"), F.when(F.col("n_shingles") == 0, F.col("id")).when(F.col("id").isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def _labels(docs: DataFrame, full: DataFrame, classes: DataFrame, k: int, percent: int, dense: float) -> DataFrame:
+    """(id, label) of the classes' representatives that are linked with others."""
+    share = percent / 100
+    # by the id alone, so that a text's features are dealt out once
+    reps = full.join(classes.select(F.col("rep").alias("id")), "id", "left_semi").dropDuplicates(["id"])
     leaves = written(_leaves(reps), "leaves")
     first = written(_candidates(leaves.withColumn("comp", F.col("id")), share, False).select("a", "b").distinct(), "pairs")
     done = _verified(first, docs, k, percent).where("ok").select("a", "b")
@@ -348,11 +388,4 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         found.append(_verified(more, docs, k, percent).where("ok").select("a", "b"))
     if not crowded.isEmpty():
         found.append(_linked(known, crowded, docs, k, percent))
-    if found:
-        labels = components(functools.reduce(DataFrame.union, found, done))
-    member = classes.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("n", "s1", "s2", F.coalesce("label", "rep").alias("comp"))
-    # an id that repeats with other texts links its classes too
-    out = feats.join(member, ["n", "s1", "s2"], "left").select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("component_id")
-    )
-    return out.withColumn("kept", F.col(id_col) == F.col("component_id"))
+    return components(functools.reduce(DataFrame.union, found, done)) if found else labels

@@ -13,7 +13,8 @@ the counts of quoted, direct and misspelled hits gives the score.
 Defined cases: null, empty and wordless texts get the score of a document without
 hits; without toxic labels in the sample every score is the smoothed base rate; of a
 doc_id's labels the largest counts; labels of unknown documents are ignored; a null
-doc_id is not held out; labels, lang, source and doc_id are never inputs of a score.
+doc_id is not held out; labels, lang, source and doc_id are never inputs of a score; an
+empty table gives no rows; other columns stay, but one named as the output gives way to it.
 """
 
 from __future__ import annotations
@@ -28,18 +29,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, steps, texts, written
+from .common import mix, part_rows, replaced, steps, texts, tidy, written
 from .near_dedup import shingle_sets
 
 #: Bound of the labelled sample, in documents.
 SAMPLE = 20_000
-#: Most lexicon terms, and letters from which one edit is allowed.
-TERMS, FUZZY_FROM = 4_000, 5
-#: Least log ratio of a term's rates, and least share of toxic documents that have it.
+#: Letters from which one edit is allowed.
+FUZZY_FROM = 5
+#: Least log ratio of a term's rates, and least share of toxic documents that have it (so a lexicon has at most a hundred times the distinct terms of one document).
 LEAST_WEIGHT, RARE = 2.0, 0.01
 PREFIXES = range(4, 8)
-#: Characters of context on each side of a hit; words remembered per worker.
-CONTEXT, CACHE = 60, 400_000
+#: Characters of context on each side of a hit; chunks remembered, and automaton states made, per worker before both start over.
+CONTEXT, CACHE, STATES = 60, 150_000, 20_000
+
+#: Bytes of text that are scored at once.
+BATCH_BYTES = 4 << 20
 
 _WORD = re.compile(r"[^\W\d_]+")
 #: Reporting verbs of the four languages, looked for beside a hit.
@@ -75,11 +79,14 @@ class Lexicon:
                     for c in t:
                         node = self._child(node, c)
                         self.fuzzy.add(node)
+        self.memo: dict[str, int] = {}
+        self._restart()
+
+    def _restart(self) -> None:
         self.ids: dict[frozenset, int] = {frozenset(): 0}
         self.states: list[frozenset] = [frozenset()]
         self.moves: list[dict[str, int]] = [{}]
         self.start = self._state(frozenset({(0, 1)} if 0 in self.fuzzy else {(0, 0)}))
-        self.memo: dict[str, int] = {}
 
     def _child(self, node: int, c: str) -> int:
         if c not in self.next[node]:
@@ -127,6 +134,8 @@ class Lexicon:
             return 2
         if len(word) < FUZZY_FROM - 1 or word in self.allowed:
             return 0
+        if len(self.states) > STATES:
+            self._restart()
         state, moves = self.start, self.moves
         for c in word:
             to = moves[state].get(c)
@@ -179,7 +188,7 @@ class Lexicon:
 
 def _terms(text: str) -> set[str]:
     """Whole words (with a closing space) and beginnings of a text."""
-    words = {w for w in _WORD.findall(text.lower()) if len(w) <= 40}
+    words = set(_WORD.findall(text.lower()))
     return {w + " " for w in words if len(w) > 2} | {w[:n] for w in words for n in PREFIXES if len(w) > n}
 
 
@@ -195,7 +204,9 @@ def _family(batches):
             full = np.flatnonzero(np.diff(at))
             for j in range(3 if len(full) else 0):
                 out[lo + full, j] = np.minimum.reduceat(mix(tokens ^ np.uint64(0x1234567 * (j + 1))), at[full]).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column("text"), batch.column("toxic"), *map(pa.array, out.T.copy())], names=["text", "toxic", "f0", "f1", "f2"])
+        keep = ("doc_id", "text", "toxic")
+        yield pa.RecordBatch.from_arrays([*map(batch.column, keep), *map(pa.array, out.T.copy())], names=[*keep, "f0", "f1", "f2"])
+        tidy()
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
@@ -225,12 +236,14 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < math.ceil(part * 1_000_000))
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     # at most about `sample` rows of two numbers are broadcast
-    rows = docs.join(F.broadcast(chosen), "doc_id").select("text", F.col("toxic").cast("int").alias("toxic"))
-    # of copies one is enough: a term that one text and its copies have is no evidence
-    rows = rows.mapInArrow(_family, "text string, toxic int, f0 long, f1 long, f2 long")
+    rows = docs.join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("string").alias("doc_id"), "text", F.col("toxic").cast("int").alias("toxic"))
+    # of copies one is enough: a term that one text and its copies have is no evidence; the least id stays
+    rows = written(rows.mapInArrow(_family, "doc_id string, text string, toxic int, f0 long, f1 long, f2 long"), "family")
+    own = ["doc_id", "f0", "f1", "f2"]
+    left = rows.select("toxic", *own)
     for f in ("f0", "f1", "f2"):
-        rows = rows.dropDuplicates(["toxic", f])
-    rows = written(rows.select("text", "toxic"), "labelled")
+        left = left.groupBy("toxic", F.col(f).alias("same")).agg(F.min(F.struct(*own)).alias("m")).select("toxic", "m.*")
+    rows = written(rows.join(left, ["toxic", *own], "left_semi").dropDuplicates(["toxic", *own]).select("text", "toxic"), "labelled")
 
     def tally(wanted: frozenset | None):
         def run(batches):
@@ -284,9 +297,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         taken.add(t)
         u = longest(t)
         (words if u.endswith(" ") else stems).append(u.rstrip())
-    key = lambda t: -pos.get(t + " ", pos.get(t, 0))
-    words, stems = sorted(words, key=key)[: TERMS // 2], sorted(stems, key=key)[: TERMS // 2]
-
+    words, stems = sorted(words), sorted(stems)
 
     def features(batches):
         own = Lexicon(words, stems)
@@ -312,26 +323,23 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     return Model((words, stems, allowed), _logistic(np.column_stack([np.ones(len(y)), x]), y).tolist())
 
 
-def score(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`documents` with a column score (0 to 1)."""
-    if "score" in documents.columns:
-        raise ValueError("the documents have a column score already")
+def score(documents: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
+    """`documents` with a column `name` (0 to 1)."""
+    documents = replaced(documents, name)
     words, stems, allowed = model.lexicon
-    weights, columns = model.weights, documents.columns
-    shared = documents.sparkSession.sparkContext.broadcast((words, stems, allowed))  # TERMS terms and misspellings of the sample
+    weights, columns = np.array(model.weights), documents.columns
+    shared = documents.sparkSession.sparkContext.broadcast((words, stems, allowed))  # terms and misspellings of the sample
 
     def run(batches):
         lexicon = Lexicon(*shared.value)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            out = []
-            for text in batch.column(text_col):
-                z = weights[0] + sum(a * b for a, b in zip(weights[1:], lexicon.hits(text.as_py() or "")[0]))
-                out.append(1 / (1 + math.exp(-max(-30.0, min(30.0, z)))))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(out, pa.float64())], names=[*columns, "score"])
-
-    schema = T.StructType([*documents.schema.fields, T.StructField("score", T.DoubleType())])
+        for whole in batches:
+            for batch in part_rows(whole, text_col, BATCH_BYTES) if whole.num_rows else ():
+                x = np.array([lexicon.hits(t or "")[0] for t in batch.column(text_col).to_pylist()])
+                z = np.clip(weights[0] + (x * weights[1:]).sum(1), -30, 30)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(1 / (1 + np.exp(-z)))], names=[*columns, name])
+            tidy()
+
+    schema = T.StructType([*documents.schema.fields, T.StructField(name, T.DoubleType())])
     return documents.mapInArrow(run, schema)
 
 

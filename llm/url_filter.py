@@ -14,7 +14,8 @@ simulated together, one column of characters at a time.
 longest rule that fits decides; ties go to the first in order of the list.
 
 Defined cases: a null url, or one without "://", has an empty host and path and gets the
-default verdict; repeated urls are judged each; without rules the default holds for all.
+default verdict; repeated urls are judged each; without rules the default holds for all; an
+empty table gives no rows; a batch takes a round for each byte of its longest url.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import steps, texts
+from .common import free_names, replaced, steps, texts
 
 DEFAULT = "allow"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -114,26 +115,24 @@ def path(url: Column) -> Column:
 
 
 def judge(pages: DataFrame, rules: Sequence[Rule], url_col: str = "url", default: str = DEFAULT) -> DataFrame:
-    """`pages` with columns host, path, rule, verdict."""
-    for c in ("host", "path", "rule", "verdict"):
-        if c in pages.columns:
-            raise ValueError(f"the pages have a column {c} already")
-    url = F.col(url_col).cast("string")
-    ready = pages.withColumns({"host": host(url), "path": path(url)})
-    columns = ready.columns
+    """`pages` with columns host, path, rule, verdict; columns of these names give way to them."""
+    (given,) = free_names(pages, "canonical url")
+    url = F.col(given)
+    pages = replaced(pages.withColumn(given, F.col(url_col).cast("string")), "host", "path", "rule", "verdict")
+    ready = pages.withColumns({"host": host(url), "path": path(url)}).withColumn(given, F.concat(F.lit("."), "host", "path"))
+    columns = [c for c in ready.columns if c != given]
     automaton = Automaton(rules)  # a few masks a rule, in the closure
-    canonical = "canonical url"
 
     def run(batches):
         names, verdicts = [r.name for r in automaton.rules] + [None], [r.verdict for r in automaton.rules] + [default]
         for batch in batches:
             if not batch.num_rows:
                 continue
-            raw, offsets = texts(batch.column(canonical))
+            raw, offsets = texts(batch.column(given))
             best = np.concatenate([automaton.longest(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]) for lo, hi in steps(offsets)])
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in columns), pa.array([names[i] for i in best], pa.string()), pa.array([verdicts[i] for i in best], pa.string())], names=[*columns, "rule", "verdict"]
             )
 
-    schema = T.StructType([*ready.schema.fields, T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
-    return ready.withColumn(canonical, F.concat(F.lit("."), "host", "path")).mapInArrow(run, schema)
+    schema = T.StructType([*(f for f in ready.schema.fields if f.name != given), T.StructField("rule", T.StringType()), T.StructField("verdict", T.StringType())])
+    return ready.mapInArrow(run, schema)

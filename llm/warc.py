@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, shared_dir
+from .common import arrow_map, joined, scratch
 
 #: Bytes of payload per file; payloads of at least DEDUP_FROM bytes are held against each other.
 FILE_BYTES, DEDUP_FROM = 16 << 20, 0
@@ -118,13 +118,18 @@ def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "
     """Write archives to `path`."""
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1(F.col("html").cast("binary"))).withColumn("size", F.octet_length("html"))
-    size = rows.agg(F.sum(F.col("size") + 500)).first()[0] or 0
+    size, bare = rows.agg(F.coalesce(F.sum(F.col("size") + 500), F.lit(0)), F.count(F.when(F.col("id").isNull(), 1))).first()
     # keys of the groups only: one row a digest after partial aggregation
     last = rows.where(F.col("size") >= dedup_from).groupBy("digest").agg(F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "last")
-    known = rows.select("id", "digest").join(last, "digest").where("id <> last").distinct()
-    # payloads are shuffled once, as the files need them; rows without an id are spread by their digest
+    known = joined(rows.where("id is not null").select("id", "digest"), last, ["digest"]).where("id <> last").distinct()
+    # payloads are shuffled once, as the files need them
     files = max(1, -(-size // FILE_BYTES))
-    whole = rows.repartition(files, "id", "digest").join(known.repartition(files, "id", "digest"), ["id", "digest"], "left")
+    named = rows.where("id is not null") if bare else rows
+    whole = named.repartition(files, "id", "digest").join(known.repartition(files, "id", "digest"), ["id", "digest"], "left")
+    if bare:  # rows without an id refer to the largest id of their payload, and are spread by their place
+        other = joined(rows.where("id is null").select("digest").distinct(), last, ["digest"]).where("last is not null")
+        spread = rows.where("id is null").withColumn("at", F.monotonically_increasing_id())
+        whole = whole.union(joined(spread, other, ["digest"], "left").repartition(files, "at").select(*whole.columns))
 
     def run(batch: pa.RecordBatch) -> dict:
         out = []
@@ -166,7 +171,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def archive(pages: DataFrame) -> DataFrame:
     """Write `pages` to the shared folder, read them back: one row per page."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    path = scratch(spark, "warc")
     write(pages, path)
     back = read(spark, path)
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "refers_to")
