@@ -8,10 +8,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from momenta.sources.files import scratch, shared_dir  # noqa: F401
+from momenta.sources.files import remove, scratch, shared_dir  # noqa: F401
 
 #: Bytes of text that one vectorised step takes at once; a longer text is a step of its own.
 STEP_BYTES = 512 << 10
@@ -22,9 +22,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
+    if _made:
+        _made[-1].append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: What the operators at work have written, the innermost last.
+_made: list[list[tuple[SparkSession, str]]] = []
+
+
+def swept(operator: Callable) -> Callable:
+    """An operator that removes at its end what it has written and its result doesn't read."""
+
+    @functools.wraps(operator)
+    def run(*args, **options):
+        _made.append([])
+        try:
+            out = operator(*args, **options)
+            used = out.inputFiles() if isinstance(out, DataFrame) else []
+        except BaseException:
+            used = []
+            raise
+        finally:
+            made = _made.pop()
+            names = {f.rsplit("/", 2)[-2] for f in used}
+            for spark, path in made:
+                if path.rsplit("/", 1)[-1] not in names:
+                    remove(spark, path)
+                elif _made:
+                    _made[-1].append((spark, path))
+        return out
+
+    return run
+
+
 @functools.cache
 def _libc() -> ctypes.CDLL:
     return ctypes.CDLL(None)

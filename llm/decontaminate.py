@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, arrow_map, id_filter, in_filter, lookup, mix, replaced, steps, texts, tidy, written
+from .common import Words, arrow_map, id_filter, in_filter, lookup, mix, replaced, steps, swept, texts, tidy, written
 
 WINDOW, K, BLOCK_WORDS = 10, 5, 1_000_000
 #: Blocks that one pass over the documents takes, each in a worker of its own.
@@ -184,6 +184,7 @@ def _blocks(items: DataFrame, window: int, k: int, block_words: int) -> Iterator
         yield Index(ids, held, window, k)
 
 
+@swept
 def annotate(documents: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW, k: int = K, block_words: int = BLOCK_WORDS, name: str = "contamination") -> DataFrame:
     """`documents` with a struct `name`: n_words, hits (hit words' numbers), items (ids as sorted strings)."""
     if not 1 <= k <= window:

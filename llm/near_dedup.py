@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, arrow_map, components, id_filter, in_filter, joined, lookup, mix, steps, tasks, texts, tidy, written
+from .common import Words, arrow_map, components, id_filter, in_filter, joined, lookup, mix, steps, swept, tasks, texts, tidy, written
 
 TREES, DEPTH, SMALL, BLOCK, BINS = 12, 3, 64, 2048, 128
 DENSE, TOKENS = 4, 500_000
@@ -339,6 +339,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFr
     return written(arrow_map(right.join(left, ["a", "share"]).select("a", "b", "x", "y"), _confirm(percent), "a long, b long, ok boolean"), "confirmed")
 
 
+@swept
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 4, percent: int = 80, dense: float = DENSE) -> DataFrame:
     """One row per document: its id, n_shingles, component_id (smallest id linked), kept."""
     docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))

@@ -24,9 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import tasks
+
 QUERY_BLOCK, CANDIDATE_BLOCK, STRIP = 2048, 8192, 256
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two each, which changes no cosine and keeps squares from running over or under."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
 def _norms(x: np.ndarray) -> np.ndarray:
     out = np.zeros(len(x))
     for d in range(x.shape[1]):
@@ -44,7 +51,7 @@ def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def tile(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query, candidate, cosine): the k nearest candidates of each query in this tile."""
     order = np.argsort(ids, kind="stable")
-    ids, vectors = ids[order], vectors[order]
+    ids, vectors, queries = ids[order], _scaled(vectors[order]), _scaled(queries)
     unique, inverse = np.unique(vectors, axis=0, return_inverse=True)
     by = np.argsort(inverse.ravel(), kind="stable")
     heads = np.searchsorted(inverse.ravel()[by], np.arange(len(unique) + 1))
@@ -129,5 +136,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
             n = len(best)
             yield pa.RecordBatch.from_pydict({"query_id": pa.array([t["query_id"][0].as_py()] * n, pa.int64()), "rank": pa.array(range(1, n + 1), pa.int32()), "vec_id": pa.array([b[1] for b in best], pa.int64()), "score": pa.array([-b[0] for b in best], pa.float64())})
 
-    found = asks.union(held).repartition(*keys).sortWithinPartitions(*keys, "side", "id").mapInArrow(tiles, "query_id long, vec_id long, score double")
-    return found.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")
+    size = 8 * int(rows.agg(F.coalesce(F.sum("dim"), F.lit(0))).first()[0]) * max(n_q, 1) if n_q * n_c > 1 else 0
+    found = asks.union(held).repartition(tasks(vectors, size), *keys).sortWithinPartitions(*keys, "side", "id").mapInArrow(tiles, "query_id long, vec_id long, score double")
+    return found.repartition(tasks(vectors, 24 * k * asking * n_c), "query_id").sortWithinPartitions("query_id").mapInArrow(merge, "query_id long, rank int, vec_id long, score double")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import part_rows, tidy, written
+from .common import part_rows, swept, tidy, written
 from .tokens import END_ID, encoder
 
 LENGTH, SHARD_BYTES = 4096, 8 << 20
@@ -245,6 +245,7 @@ def fill(docs: list[np.ndarray], length: int) -> list[tuple[int, int, int, int,
     return pieces
 
 
+@swept
 def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES, with_ids: bool = False) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and its ids, if wanted)."""
     if length & (length - 1):

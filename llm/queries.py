@@ -60,8 +60,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_table(spark, sf_dir, "documents"))
 
 
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the fixed patterns of op10 find, without the model's spans."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_license_scan, op2_url_filter, op3_token_ids, op4_decontaminate, op5_near_dedup, op6_nearest, op7_warc, op8_packing, op9_toxicity, op10_secrets)
+    found = (op1_license_scan, op2_url_filter, op3_token_ids, op4_decontaminate, op5_near_dedup, op6_nearest, op7_warc, op8_packing, op9_toxicity, op10_secrets, base_secrets)
     return {f.__name__: f for f in found}
 
 
@@ -120,6 +125,30 @@ r as (select query_id, row_number() over (partition by query_id order by score d
 select query_id, rank::integer as rank, vec_id, score from r where rank <= 5"""
 
 
+SQL_WARC = """
+with d as (select page_id, strlen(coalesce(html, ''))::bigint payload_bytes, sha1(coalesce(html, '')) x from pages),
+g as (select *, max(page_id) over (partition by x) last, list_transform(range(0, 8), lambda i: ('0x' || substr(x, i * 5 + 1, 5))::integer) parts from d),
+-- five hexadecimal digits are four of base 32
+e as (select *, array_to_string(list_transform(parts, lambda v: array_to_string(list_transform([15, 10, 5, 0], lambda b: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> b) & 31) + 1, 1)), '')), '') payload_digest from g)
+select page_id, payload_bytes, payload_digest, case when page_id = last then 'response' else 'revisit' end record_type, case when page_id <> last then last end refers_to from e"""
+
+
+def _spans(kind: str, at: int, pattern: str, group: int) -> str:
+    quoted = pattern.replace("'", "''")
+    return f"""select doc_id, '{kind}' as kind, {at} as place, unnest(list_transform(range(1, len(w) + 1), lambda i: {{'token': length(h[i]), 'size': length(w[i]),
+        'e': list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(w[1:i], lambda x: length(x)))}})) m
+        from (select doc_id, regexp_extract_all(t, '{quoted}', 0) w, regexp_extract_all(t, '{quoted}', {group}) h, string_split_regex(t, '{quoted}') g from (select doc_id, coalesce(text, '') t from documents) where regexp_matches(t, '{quoted}'))
+        where len(w) > 0"""
+
+
+SQL_SECRETS = f"""
+with s as (select doc_id, kind, place, (m.e - m.size)::bigint b, m.e::bigint e, m.token from (
+    {_spans("assign", 0, secrets.ASSIGN, 2)} union all {_spans("access", 1, secrets.ACCESS, 0)} union all {_spans("hex", 2, secrets.HEX, 0)})),
+k as (select * from s where token >= case kind when 'assign' then 8 when 'access' then 16 else 32 end),
+c as (select doc_id, count(*) filter (kind = 'assign') a, count(*) filter (kind = 'access') x, count(*) filter (kind = 'hex') h, string_agg(kind || ':' || b || ':' || e, ',' order by b, place) l from k group by doc_id)
+select doc_id, coalesce(a, 0) n_assign, coalesce(x, 0) n_access, coalesce(h, 0) n_hex, sha256(coalesce(l, '')) base_sha256 from documents left join c using (doc_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_license_scan": SQL_LICENSE,
@@ -127,4 +156,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_decontaminate": SQL_DECONTAMINATE,
         "op5_near_dedup": SQL_NEAR,
         "op6_nearest": SQL_NEAREST,
+        "op7_warc": SQL_WARC,
+        "base_secrets": SQL_SECRETS,
     }

@@ -11,7 +11,7 @@ quotation marks, or a reporting verb beside it) from abuse.  A logistic model ov
 the counts of quoted, direct and misspelled hits gives the score.
 
 Defined cases: null, empty and wordless texts get the score of a document without
-hits; without toxic labels in the sample every score is the smoothed base rate; of a
+hits; without toxic labels in the sample every score is the smoothed base rate (under a half); of a
 doc_id's labels the largest counts; labels of unknown documents are ignored; a null
 doc_id is not held out; labels, lang, source and doc_id are never inputs of a score; an
 empty table gives no rows; other columns stay, but one named as the output gives way to it.
@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import mix, part_rows, replaced, steps, texts, tidy, written
+from .common import mix, part_rows, replaced, steps, swept, texts, tidy, written
 from .near_dedup import shingle_sets
 
 #: Bound of the labelled sample, in documents.
@@ -39,6 +39,8 @@ FUZZY_FROM = 5
 #: Least log ratio of a term's rates, and least share of toxic documents that have it (so a lexicon has at most a hundred times the distinct terms of one document).
 LEAST_WEIGHT, RARE = 2.0, 0.01
 PREFIXES = range(4, 8)
+#: Sample documents with misspellings from which on they get a weight of their own.
+FEW_ODD = 5
 #: Characters of context on each side of a hit; chunks remembered, and automaton states made, per worker before both start over.
 CONTEXT, CACHE, STATES = 60, 150_000, 20_000
 
@@ -66,6 +68,8 @@ class Lexicon:
         self.word: set[int] = set()
         self.stem: set[int] = set()
         self.fuzzy: set[int] = set()  # nodes on the way to a term that may be misspelled
+        self.fuzzy_word: set[int] = set()  # ends of such terms
+        self.fuzzy_stem: set[int] = set()
         self.allowed = allowed
         for terms, ends in ((words, self.word), (stems, self.stem)):
             for t in terms:
@@ -79,6 +83,7 @@ class Lexicon:
                     for c in t:
                         node = self._child(node, c)
                         self.fuzzy.add(node)
+                    (self.fuzzy_stem if ends is self.stem else self.fuzzy_word).add(node)
         self.memo: dict[str, int] = {}
         self._restart()
 
@@ -104,10 +109,10 @@ class Lexicon:
     def _move(self, state: int, c: str) -> int:
         out = set()
         for node, left in self.states[state]:
-            if node in self.stem:
+            if node in self.fuzzy_stem:
                 out.add((node, left))  # any ending may follow a stem
-            if (to := self.next[node].get(c)) is not None:
-                out.add((to, left if to in self.fuzzy else min(left, 0)))
+            if (to := self.next[node].get(c)) is not None and to in self.fuzzy:
+                out.add((to, left))
             if left:
                 out.add((node, 0))  # c is extra
                 for child in self.next[node].values():
@@ -143,7 +148,7 @@ class Lexicon:
             if not state:
                 return 0
         for node, left in self.states[state]:
-            if node in self.fuzzy and (node in self.word or node in self.stem or left and any(n in self.fuzzy and n in self.word for n in self.next[node].values())):
+            if node in self.fuzzy_word or node in self.fuzzy_stem or left and any(n in self.fuzzy_word or n in self.fuzzy_stem for n in self.next[node].values()):
                 return 3
         return 0
 
@@ -228,6 +233,7 @@ class Model:
         self.lexicon, self.weights = lexicon, weights
 
 
+@swept
 def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Learn lexicon and weights from labelled documents that are not held out."""
     marks = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -308,7 +314,7 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     seen = rows.mapInArrow(features, "toxic int, x array<double>, odd array<string>").toArrow() if rows.head(1) else None
     if seen is None or not seen.num_rows:
-        return Model((words, stems, set()), [0.0] * 7)
+        return Model((words, stems, set()), [-math.log(3), *[0.0] * 6])  # the smoothed rate of no rows: a quarter
     y = (seen["toxic"].to_numpy() == 1).astype(float)
     x = np.array(seen["x"].to_pylist())
     odd = seen["odd"].to_pylist()
@@ -320,7 +326,10 @@ def fit(documents: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
         if any(w in allowed for w in ws):
             x[i, 3] = math.log1p(sum(w not in allowed for w in ws))
 
-    return Model((words, stems, allowed), _logistic(np.column_stack([np.ones(len(y)), x]), y).tolist())
+    weights = _logistic(np.column_stack([np.ones(len(y)), x]), y)
+    if (x[:, 3] > 0).sum() < FEW_ODD:  # the sample doesn't tell: a misspelled term is as bad as one that is not
+        weights[4] = weights[2] + weights[1] / math.log(2)
+    return Model((words, stems, allowed), weights.tolist())
 
 
 def score(documents: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:
