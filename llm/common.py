@@ -255,12 +255,19 @@ def tasks(df: DataFrame, size: int) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
 
 
-def joined(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+#: Rows of two numbers that one task may well get, whatever their keys.
+PLAIN_ROWS = 1_000_000
+
+
+def joined(rows: DataFrame, facts: DataFrame, keys: list[str], how: str = "inner", count: int | None = None) -> DataFrame:
     """`rows` with the `facts` of their keys, one row a key, where a key may have very many rows.
 
     Facts are written first and both sides sorted by key, so that adaptive execution sees two
-    plain shuffles and cuts the rows of a hot key among tasks.
+    plain shuffles and cuts the rows of a hot key among tasks.  Where `count` says that all rows
+    together are no burden for a task, the join is left to Spark.
     """
+    if count is not None and count <= PLAIN_ROWS:
+        return rows.join(facts, keys, how)
     return rows.join(written(facts, "facts").hint("merge"), keys, how)
 
 
@@ -273,19 +280,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = lambda e: e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    before = None
+    before, count = None, edges.count()
     while True:
         # large star: larger neighbours go to the smallest of the neighbourhood
         sym = both(edges)
         low = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        big = joined(sym, low, ["a"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        big = written(big, "star")
+        big = joined(sym, low, ["a"], count=2 * count).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        if 2 * count > PLAIN_ROWS:
+            big = written(big, "star")
         # small star: smaller neighbours and the node itself go to the smallest
         low = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = joined(big, low, ["a"]).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = joined(big, low, ["a"], count=2 * count).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         edges = written(small, "edges")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if now == before:
             break
-        before = now
+        before, count = now, now[0]
     return both(edges).groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("label"))

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm import decontaminate, license_scan, near_dedup, nearest, packing, repair, secrets, toxicity, url_filter, warc
+from llm import common, decontaminate, license_scan, near_dedup, nearest, packing, repair, secrets, toxicity, url_filter, warc
 from llm.common import components
 from llm.tokens import Encoder, word_bpe_path
 
@@ -156,10 +156,12 @@ def test_near_duplicates(docs, empty, rows):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(20, 60)] + [(100, 99), (5, 5)]
+@pytest.mark.parametrize("plain", [10**6, 0])
+def test_components(spark, monkeypatch, plain):
+    monkeypatch.setattr(common, "PLAIN_ROWS", plain)
+    edges = [(i, i + 1) for i in range(20, 60)] + [(100, 99), (5, 5)] + [(500, i) for i in range(200, 400)]
     got = dict(components(spark.createDataFrame(edges, "a long, b long")).collect())
-    assert got == {**{i: 20 for i in range(20, 61)}, 99: 99, 100: 99}
+    assert got == {**{i: 20 for i in range(20, 61)}, 99: 99, 100: 99, **{i: 200 for i in (*range(200, 400), 500)}}
 
 
 def test_decontamination(spark, docs, empty, rows):
