@@ -172,13 +172,6 @@ def test_whole_table_queries(spark, tmp_path):
     assert len(got) == q.DIM**2 and all(abs(v - (y.T @ y)[i - 1, j - 1]) <= 6e-4 for (i, j), v in got.items())
 
 
-def test_bench_times_every_training_data_query():
-    import __spark_entry__ as entry
-    import bench
-
-    assert {n for n in entry.queries() if n.startswith("op") or n == "pipeline"} == set(bench.EXTRA)
-
-
 def test_row_numbers_with_payload_ties_and_nulls(spark):
     r = np.random.default_rng(8)
     keys = [*r.permutation(700).tolist(), *[350] * 400, *[None] * 30, 9, 9]
