@@ -14,7 +14,7 @@ import re
 
 import numpy as np
 
-#: Chunks kept per Python worker; about 150 bytes each.
+#: Chunks of a generation, of which a Python worker keeps two; about 150 bytes each.
 CACHE_ENTRIES = 200_000
 #: Appended to every document by the queries.
 END_ID = 2
@@ -59,6 +59,7 @@ class Encoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
         self.cache: dict[str, bytes] = {"": b""}
+        self.old: dict[str, bytes] = {}
         self.limit = cache_entries
 
     def _chunks(self, text: str) -> list[str]:
@@ -107,9 +108,13 @@ class Encoder:
         out = []
         for at in range(0, len(texts), 64):
             if len(self.cache) > self.limit:
-                self.cache = {"": b""}
+                # what was not met since the last turn goes
+                self.old, self.cache = self.cache, {"": b""}
             chunks = [self._chunks(text or "") for text in texts[at : at + 64]]
             unseen = set().union(*chunks).difference(self.cache)
+            again = [c for c in unseen if c in self.old]
+            self.cache.update(zip(again, map(self.old.__getitem__, again)))
+            unseen.difference_update(again)
             if unseen:
                 self._learn(unseen)
             get, join = self.cache.__getitem__, b"".join
