@@ -41,7 +41,7 @@ _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EMPTY = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 
 
-def sha1(data: bytes) -> str:
+def sha1(data: bytes | memoryview) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
@@ -73,19 +73,19 @@ def record(key: int | None, url: str | None, payload: bytes, digest: str, refers
     return member if member[-1] == 0 else member + _EMPTY
 
 
-def members(data: bytes) -> Iterator[bytes]:
+def members(data: bytes) -> Iterator[bytearray]:
     """The inflated gzip members of a file, one at a time."""
     view, at = memoryview(data), 0
     while at < len(view):
-        z, out = zlib.decompressobj(31), []
+        z, out = zlib.decompressobj(31), bytearray()
         while not z.eof:
             if at >= len(view):
                 raise ValueError("the last member is cut off")
             piece = view[at : at + CHUNK]
-            out.append(z.decompress(piece))
+            out += z.decompress(piece)
             at += len(piece) - len(z.unused_data)
-        if any(out):
-            yield b"".join(out)
+        if out:
+            yield out
 
 
 def _fields(head: bytes) -> tuple[str, dict[str, str]]:
@@ -93,25 +93,27 @@ def _fields(head: bytes) -> tuple[str, dict[str, str]]:
     return first, {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines) if k}
 
 
-def parse(member: bytes) -> dict:
-    """Headers, HTTP fields and payload of a record; raises if framing or digests are wrong."""
-    head, gap, rest = member.partition(b"\r\n\r\n")
-    version, fields = _fields(head)
-    if not gap or not version.startswith("WARC/"):
+def parse(member: bytes | bytearray) -> dict:
+    """Headers, HTTP fields and payload of a record; raises if framing or digests are wrong.  Of the member only the payload is copied."""
+    gap = member.find(b"\r\n\r\n")
+    version, fields = _fields(bytes(member[: max(gap, 0)]))
+    if gap < 0 or not version.startswith("WARC/"):
         raise ValueError("not a WARC record")
-    size = int(fields["content-length"])
-    block = rest[:size]
-    if len(block) != size or rest[size:] != b"\r\n\r\n":
+    begin, view = gap + 4, memoryview(member)
+    end = begin + int(fields["content-length"])
+    if end < begin or view[end:] != b"\r\n\r\n":
         raise ValueError("the content length is wrong")
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1(block)}":
+    if "warc-block-digest" in fields and fields["warc-block-digest"] != f"sha1:{sha1(view[begin:end])}":
         raise ValueError("the block digest is wrong")
-    out = {"type": fields.get("warc-type"), "fields": fields, "http": {}, "payload": block}
+    http = {}
     if fields.get("content-type", "").startswith("application/http"):
-        http, _, payload = block.partition(b"\r\n\r\n")
-        out |= {"http": _fields(http)[1], "payload": payload}
-        if out["type"] == "response" and "warc-payload-digest" in fields and fields["warc-payload-digest"] != f"sha1:{sha1(payload)}":
+        gap = member.find(b"\r\n\r\n", begin, end)
+        if gap < 0:
+            raise ValueError("the HTTP header has no end")
+        http, begin = _fields(bytes(view[begin:gap]))[1], gap + 4
+        if fields.get("warc-type") == "response" and "warc-payload-digest" in fields and fields["warc-payload-digest"] != f"sha1:{sha1(view[begin:end])}":
             raise ValueError("the payload digest is wrong")
-    return out
+    return {"type": fields.get("warc-type"), "fields": fields, "http": http, "payload": bytes(view[begin:end])}
 
 
 def write(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", dedup_from: int = DEDUP_FROM) -> None:
