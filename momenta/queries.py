@@ -268,9 +268,8 @@ def stored_cells(spark, d):
 
 def jdbc_table(spark, d):
     """region by way of another database (the one that Spark brings along)."""
-    url = f"jdbc:derby:memory:{files.scratch(spark, 'db').rsplit('/', 1)[-1]};create=true"
-    _table(spark, d, "region").write.jdbc(url, "region", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver", "createTableColumnTypes": "r_name varchar(100)"})
-    back = files.read_jdbc(spark, url, "region", driver="org.apache.derby.iapi.jdbc.AutoloadedDriver")
+    url = files.derby_copy(spark, _table(spark, d, "region"), "region")
+    back = files.read_jdbc(spark, url, "region", driver=files.DERBY)
     return back.toDF(*(c.lower() for c in back.columns))
 
 

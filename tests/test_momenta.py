@@ -298,3 +298,31 @@ def test_short_numbers_and_timing(spark):
 
     assert [short(n) for n in (1_000_000, 25_400, 1_000, 999, 7, 123_456_789)] == ["001M", "025K", "001K", "999", "007", "123M"]
     assert len(timed(spark.range(3), 2)) == 2
+
+
+_ON_A_CLUSTER = """
+import sys, __spark_entry__ as entry
+from momenta.sources import files
+from pyspark.sql import SparkSession
+conf = {"spark.master": "local-cluster[2,1,1024]", "spark.executor.memory": "512m", "spark.ui.enabled": "false", "spark.driver.host": "127.0.0.1", "spark.checkpoint.dir": "file://" + sys.argv[1]}
+spark = SparkSession.builder.config(map=conf).getOrCreate()
+assert entry.queries()["jdbc_table"](spark, sys.argv[1]).repartition(2).count() == 7
+rows = spark.createDataFrame([(1, None, 0.5, "it's"), (None, 1 << 40, None, None)], "a int, b long, c double, d string")
+back = files.read_jdbc(spark, files.derby_copy(spark, rows, "t"), "t", driver=files.DERBY)
+assert back.dtypes == rows.dtypes, back.dtypes
+assert sorted(back.collect(), key=str) == sorted(map(tuple, rows.collect()), key=str)
+assert not files.read_jdbc(spark, files.derby_copy(spark, rows.limit(0), "t"), "t", driver=files.DERBY).count()
+spark.stop()
+"""
+
+
+def test_jdbc_table_where_executors_are_processes_of_their_own(spark, tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    spark.range(7).selectExpr("cast(id as int) r_regionkey", "concat('R', id) r_name").write.parquet(str(tmp_path / "region.parquet"))
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    own = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "_PYSPARK", "SPARK_"))} | {"PYTHONPATH": root}
+    done = subprocess.run([sys.executable, "-c", _ON_A_CLUSTER, str(tmp_path)], env=own, cwd=tmp_path, capture_output=True, text=True, timeout=300)
+    assert done.returncode == 0, done.stderr[-2000:]
