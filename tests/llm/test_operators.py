@@ -315,6 +315,23 @@ def test_toxicity_of_misspellings_and_quotations(spark):
     assert all(got[1000 + i] == 1 and got[2000 + i] == 0 for i in range(30))
 
 
+def test_toxicity_learns_from_all_labelled_documents(spark):
+    r = random.Random(6)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(4))
+    n = 26_000
+    docs = [(i, f"{text()} grumblefuzz" if i % 10 == 0 or i % 1000 == 1 else f'{text()} "grumblefuzz"' if i % 100 == 2 else text()) for i in range(n)]
+    model = toxicity.fit(spark.createDataFrame(docs, "doc_id int, text string").repartition(4), spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(n)], "doc_id long, quality int, toxic int"))
+    lexicon = toxicity.Lexicon(*model.lexicon)
+    known = [(i, lexicon.hits(t)[0]) for i, t in docs if zlib.crc32(str(i).encode()) % 5]
+    x, y = np.array([[1, *f] for _, f in known]), np.array([i % 10 == 0 for i, _ in known])
+    assert model.lexicon[0] + model.lexicon[1] and not x[:, 4].any()
+    pull = np.append(1e-2, np.full(6, 1e-2 * len(y) ** 0.5 + 1e-2))
+    w = np.array(model.weights)
+    w[4] = 0  # no misspellings: its weight is a rule
+    # the slope of the penalised likelihood of all of them is level there
+    assert np.abs(x.T @ (y - 1 / (1 + np.exp(-x @ w))) - pull * w).max() < 1e-3
+
+
 def test_random_strings_by_brute_force_and_held_out(spark):
     table = secrets.train(secrets.labelled_sample())
     n, place = len(secrets.ALPHABET), {c: i for i, c in enumerate(secrets.ALPHABET)}
