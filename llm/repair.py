@@ -75,6 +75,19 @@ def unpacked_bits(data: bytes, at: int, n: int) -> tuple[np.ndarray, int]:
     return out, at
 
 
+def _sorted(keys: np.ndarray, symbols: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys) of pairs of symbols; a pair and its place are sorted as one number where they fit, as that is faster."""
+    bits, places = (symbols - 1).bit_length(), max(len(keys) - 1, 0).bit_length()
+    if 2 * bits + places > 64:
+        order = np.argsort(keys)
+        return order, keys[order]
+    low, place = np.uint64(0xFFFFFFFF), np.uint64((1 << places) - 1)
+    both = (keys >> np.uint64(32) << np.uint64(bits) | keys & low) << np.uint64(places) | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    order = (both & place).astype(np.int64)
+    return order, keys[order]
+
+
 def compress(ids: np.ndarray, starts: np.ndarray, first: int, most: int = RULES, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, symbol starts, rules, expansion lengths) of concatenated documents; `first` is the first free symbol."""
     seq = ids.astype(np.uint32)
@@ -90,8 +103,7 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, most: int = RULES,
         bound = least if every else max(least, int(np.partition(counts, -2 * most)[-2 * most]))
         at = np.flatnonzero((counts >= bound)[cell] & inner)
         keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-        order = np.argsort(keys)
-        sorted_keys = keys[order]
+        order, sorted_keys = _sorted(keys, first + len(rules))
         lead = np.flatnonzero(np.concatenate([[True], sorted_keys[1:] != sorted_keys[:-1]])) if len(keys) else np.zeros(0, int)
         size = np.diff(np.concatenate([lead, [len(keys)]]))
         best = np.argsort(-size, kind="stable")[:most]
@@ -128,16 +140,31 @@ def compress(ids: np.ndarray, starts: np.ndarray, first: int, most: int = RULES,
 def _expansions(rules: np.ndarray, lengths: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
     """Every rule's ids, concatenated, and their offsets."""
     offsets = np.concatenate([[0], np.cumsum(lengths, dtype=np.int64)])
-    flat = np.zeros(int(offsets[-1]), np.uint32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        at = int(offsets[i])
-        for s in (a, b):
-            part = flat[offsets[s - first] : offsets[s - first + 1]] if s >= first else np.array([s], np.uint32)
-            flat[at : at + len(part)] = part
-            at += len(part)
+    flat, done = np.zeros(int(offsets[-1]), np.uint32), 0
+    newest = rules.max(1).astype(np.int64) - first if len(rules) else np.zeros(0, np.int64)
+    while done < len(rules):
+        # the rules up to the next one that needs one of them
+        later = np.flatnonzero(newest[done:] >= done)
+        stop = done + int(later[0]) if len(later) else len(rules)
+        if stop == done:
+            raise ValueError("a rule needs a later one")
+        flat[offsets[done] : offsets[stop]] = _expanded(rules[done:stop].ravel(), first, lengths, flat, offsets)
+        done = stop
     return flat, offsets
 
 
+def _expanded(symbols: np.ndarray, first: int, lengths: np.ndarray, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The ids that symbols stand for."""
+    rule = symbols >= first
+    which = np.where(rule, symbols.astype(np.int64) - first, 0)
+    size = np.where(rule, lengths[which], 1).astype(np.int64)
+    ends = np.cumsum(size)
+    out = np.repeat(symbols, size)
+    at = np.flatnonzero(np.repeat(rule, size))
+    out[at] = flat[at + np.repeat((offsets[which] - ends + size)[rule], size[rule])]
+    return out
+
+
 def pack(keys: list[int | None], docs: list[np.ndarray], first: int, before: int, **options) -> bytes:
     sizes = np.array([len(d) for d in docs], np.int64)
     starts = np.concatenate([[0], np.cumsum(sizes)])
@@ -173,17 +200,7 @@ class Block:
         self.flat, self.offsets = _expansions(self.rules, self.lengths, self.first)
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        rule = symbols >= self.first
-        which = np.where(rule, symbols.astype(np.int64) - self.first, 0)
-        if not len(self.lengths):
-            return symbols.copy()
-        size = np.where(rule, self.lengths[which], 1).astype(np.int64)
-        ends = np.cumsum(size)
-        out = np.repeat(symbols, size)
-        inner = np.repeat(rule, size)
-        place = np.arange(len(out)) - np.repeat(ends - size, size)
-        out[inner] = self.flat[(np.repeat(self.offsets[which], size) + place)[inner]]
-        return out
+        return _expanded(symbols, self.first, self.lengths, self.flat, self.offsets) if len(self.lengths) else symbols.copy()
 
     def document(self, i: int) -> np.ndarray:
         return self.expand(self.symbols[self.symbol_starts[i] : self.symbol_starts[i + 1]])

@@ -78,6 +78,22 @@ def test_repair_blocks_decode_each_document_and_refuse_damage():
         repair.Block(data[:-9] + b"x" + data[-8:])
 
 
+def test_repair_rules_expand_alike_and_refuse_later_rules():
+    r = np.random.default_rng(2)
+    ids = np.tile(r.integers(0, 50, 700), 20)
+    seq, _, rules, lengths = repair.compress(ids, np.array([0]), 60)
+    flat, at = repair._expansions(rules, lengths, 60)
+    full = lambda s: [s] if s < 60 else [x for c in rules[s - 60].tolist() for x in full(c)]
+    assert len(rules) > 50 and all(flat[at[k] : at[k + 1]].tolist() == full(60 + k) for k in range(len(rules)))
+    assert [x for s in seq.tolist() for x in full(s)] == ids.tolist()
+    keys = r.integers(0, 40, 500).astype(np.uint64) << np.uint64(32) | r.integers(0, 40, 500).astype(np.uint64)
+    for symbols in (40, 1 << 32):  # as one number, and apart
+        order, done = repair._sorted(keys, symbols)
+        assert (done == np.sort(keys)).all() and (keys[order] == done).all()
+    with pytest.raises(ValueError):
+        repair._expansions(np.array([[60, 1]], np.uint32), np.array([2], np.uint32), 60)
+
+
 def test_packing(docs, empty, ids):
     p = packing.pack(docs, PATH).toPandas()
     for i, g in p.sort_values("start").groupby("doc_id"):
