@@ -1,9 +1,9 @@
 """Lexical retrieval packing: windows filled with BM25 neighbours.
 
 Documents are encoded and dealt by what they hold into shards of about `SHARD_BYTES` of
-text.  A sample of the documents gives each term its weight and a tree: a document is the
-unit vector of its weighted terms, hashed to `DIM` places; a node cuts the sample in halves
-along its main axis.  Neighbouring leaves fill a shard, and a leaf over a shard's size (many
+text.  All documents give each term its weight and a tree: a document is the
+vector of its weighted terms, hashed to `DIM` places; a node cuts its documents in halves
+along their main axis.  Neighbouring leaves fill a shard, and a leaf over a shard's size (many
 copies, a large topic) is cut by a hash of id and text.  So documents that resemble each
 other mostly share a shard, and equal ones always share a leaf, but a seed's best neighbour
 may still be in another shard: README has the measured recall.  A shard has its own BM25 index over token ids, and all terms of
@@ -21,6 +21,7 @@ empty table has no pieces.
 
 from __future__ import annotations
 
+import pickle
 import zlib
 
 import numpy as np
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import part_rows, swept, tidy, written
+from .common import part_rows, swept, texts, tidy, written
 from .tokens import END_ID, encoder
 
 LENGTH, SHARD_BYTES = 4096, 8 << 20
@@ -36,8 +37,10 @@ LENGTH, SHARD_BYTES = 4096, 8 << 20
 ENCODE_BYTES, TASK_BYTES = 2 << 20, 64 << 20
 #: BM25's k1 and b; terms in more than a DENSE-th of a shard's documents are kept as matrix rows.
 K1, B, DENSE = 1.2, 0.75, 8
-#: Places of a document's vector, sampled documents a leaf and in all, and ids of each that the sample keeps.
-DIM, LEAF, SAMPLE, SAMPLE_IDS = 128, 4, 32_000, 2_000
+#: Places of a document's vector, least documents that are cut, documents that one task cuts alone, levels between two dealings.
+DIM, LEAF, NODE, DEAL = 128, 4, 32_768, 5
+#: Width and number of the bins along an axis.
+BIN, BINS = 1024, 8192
 
 
 def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,25 +59,59 @@ def counted(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return (key >> kind(shift)).astype(np.int32), (key & kind((1 << shift) - 1)).astype(np.int32), tf
 
 
+def document_frequencies(coded: DataFrame, dtype: np.dtype, vocabulary: int) -> np.ndarray:
+    """In how many of all documents (column `ids`) each term is."""
+
+    def run(batches):
+        total = np.zeros(vocabulary, np.int64)
+        for batch in batches:
+            total += np.bincount(counted(_id_arrays(batch, dtype))[1], minlength=vocabulary)
+        term = np.flatnonzero(total)
+        yield pa.RecordBatch.from_pydict({"term": pa.array(term, pa.int64()), "n": pa.array(total[term])})
+
+    out = np.zeros(vocabulary)
+    for term, n in coded.select("ids").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n")).collect():  # one a term
+        out[term] = n
+    return out
+
+
+def _id_arrays(batch: pa.RecordBatch, dtype: np.dtype) -> list[np.ndarray]:
+    raw, at = texts(batch.column("ids"))
+    return [raw[lo:hi].view(dtype) for lo, hi in zip(at[:-1].tolist(), at[1:].tolist())]
+
+
 class Tree:
-    """Leaves of documents that resemble each other, learnt from a sample; neighbouring leaves have neighbouring numbers."""
+    """Leaves of documents that resemble each other; neighbouring leaves have neighbouring numbers.
+
+    A document is its weighted terms, hashed to DIM places, of length 127 in whole numbers: sums over documents are exact,
+    whatever their order.
+    """
 
-    def __init__(self, docs: list[np.ndarray], vocabulary: int, leaves: int):
-        df = np.zeros(vocabulary)
-        for d in docs:
-            df[np.unique(d)] += 1
-        self.idf = np.log1p((len(docs) - df + 0.5) / (df + 0.5)).astype(np.float32)
+    def __init__(self, df: np.ndarray, count: int):
+        idf = np.log1p((count - df + 0.5) / (df + 0.5)).astype(np.float32)
         r = np.random.default_rng(8)
-        self.place, self.signed = r.integers(0, DIM, vocabulary), self.idf * r.choice(np.array([-1, 1], np.float32), vocabulary)
-        #: a node's axis, bound and children; a leaf is -1 - its number
-        self.axes, self.bounds, self.sides = [], [], []
-        self.leaves = 0
-        x = self.vectors(docs)
-        self.root = self._grow(x, leaves)
-        self.axes = np.array(self.axes, np.float32).reshape(-1, DIM)
+        self.place, self.signed = r.integers(0, DIM, len(df)), idf * r.choice(np.array([-1, 1], np.float32), len(df))
+        self.set(None)
+
+    def set(self, root: list | None) -> None:
+        """Take over a node: [axis, bound, lower side, upper side], a leaf is None."""
+        axes, bounds, sides, self.leaves = [], [], [], 0
+
+        def number(node: list | None) -> int:
+            if node is None:
+                self.leaves += 1
+                return -self.leaves
+            k = len(axes)
+            axes.append(node[0])
+            bounds.append(node[1])
+            sides.append(None)
+            sides[k] = (number(node[2]), number(node[3]))
+            return k
+
+        self.root = number(root)
+        self.axes, self.bounds, self.sides = np.array(axes, np.int16).reshape(-1, DIM), np.array(bounds, np.int64), np.array(sides, np.int64).reshape(-1, 2)
 
     def vectors(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Unit vectors of the documents' weighted terms."""
         n = len(docs)
         doc, term, tf = counted(docs)
         weight = self.signed[term]
@@ -82,34 +119,160 @@ class Tree:
         weight[often] *= 1 + np.log(tf[often])
         out = np.bincount(doc * np.int64(DIM) + self.place[term], weight, n * DIM).reshape(n, DIM)
         size = np.sqrt((out * out).sum(1))
-        return (out / np.where(size, size, 1)[:, None]).astype(np.float32)
-
-    def _grow(self, x: np.ndarray, leaves: int) -> int:
-        if leaves > 1 and len(x) > LEAF:
-            y = x - x.mean(0)
-            axis = np.linalg.eigh(y.T @ y)[1][:, -1].astype(np.float32)
-            at = (x * axis).sum(1)
-            for bound in (np.median(at), at.mean()):
-                right = at > bound
-                if 0 < right.sum() < len(x):
-                    node = len(self.axes)
-                    self.axes.append(axis)
-                    self.bounds.append(float(bound))
-                    self.sides.append([0, 0])
-                    self.sides[node] = [self._grow(x[~right], leaves // 2), self._grow(x[right], leaves - leaves // 2)]
-                    return node
-        self.leaves += 1
-        return -self.leaves
-
-    def leaf(self, docs: list[np.ndarray]) -> np.ndarray:
-        """Each document's leaf."""
-        x, node = self.vectors(docs), np.full(len(docs), self.root)
-        bounds, sides = np.array(self.bounds), np.array(self.sides, np.int64).reshape(-1, 2)
+        return np.rint(out * (127 / np.where(size, size, 1))[:, None]).astype(np.int8)
+
+    def leaf(self, x: np.ndarray) -> np.ndarray:
+        """Each vector's leaf."""
+        node = np.full(len(x), self.root)
         while len(at := np.flatnonzero(node >= 0)):
             here = node[at]
-            node[at] = sides[here, ((x[at] * self.axes[here]).sum(1) > bounds[here]).astype(int)]
+            node[at] = self.sides[here, (_bins(x[at], self.axes[here]) > self.bounds[here]).astype(int)]
         return -1 - node
 
+
+def _bins(x: np.ndarray, axis: np.ndarray) -> np.ndarray:
+    """Places along an axis (or each vector's own): at most BINS, as 127 * 32,767 is about as much as BINS / 2 * BIN."""
+    return (x.astype(np.float32) * axis).sum(1).astype(np.int64) // BIN + BINS // 2  # all sums are below 2^24: exact
+
+
+def _moments(x: np.ndarray) -> np.ndarray:
+    """Count, sums and products of some vectors."""
+    total = np.zeros((DIM, DIM))
+    for lo in range(0, len(x), 1024):  # such sums are below 2^24, exact in single precision
+        part = x[lo : lo + 1024].astype(np.float32)
+        total += part.T @ part
+    return np.concatenate([[len(x)], x.sum(0, dtype=np.int64), total.ravel()])
+
+
+def _axis(moments: np.ndarray) -> np.ndarray:
+    """The main axis."""
+    n, s = moments[0], moments[1 : 1 + DIM]
+    return np.rint(np.linalg.eigh(moments[1 + DIM :].reshape(DIM, DIM) - np.outer(s, s) / n)[1][:, -1] * 32767).astype(np.int16)
+
+
+def _cut(histogram: np.ndarray) -> np.ndarray:
+    """(bin, count up to it, count after it) nearest to the middle; a count is 0 if all are in one bin."""
+    below = np.cumsum(histogram)
+    # an end without documents is no cut while there is another
+    off = np.where((below > 0) & (below < below[-1]), np.abs(2 * below - below[-1]), np.inf)
+    b = int(np.argmin(off))
+    return np.array([b, below[b], below[-1] - below[b]], np.int64)
+
+
+def _grow(x: np.ndarray, leaves: int) -> list | None:
+    """The node of some vectors."""
+    if leaves <= 1 or len(x) <= LEAF:
+        return None
+    axis = _axis(_moments(x))
+    at = _bins(x, axis)
+    bound, lower, upper = _cut(np.bincount(at, minlength=BINS)).tolist()
+    if not lower or not upper:
+        return None
+    right = at > bound
+    return [axis, bound, _grow(x[~right], leaves // 2), _grow(x[right], leaves - leaves // 2)]
+
+
+def _rows(batch: pa.RecordBatch) -> np.ndarray:
+    return texts(batch.column("x"))[0].view(np.int8).reshape(-1, DIM)
+
+
+def grow(tree: Tree, vectors: DataFrame, count: int, leaves: int, most: int) -> None:
+    """Cut all vectors (column `x`, DIM bytes) into leaves.
+
+    A node of more than `most` vectors is cut level by level: tasks sum its moments, and then the places along its main
+    axis. A smaller one is cut to its leaves by the task that gets its vectors. After `DEAL` levels the vectors of a node
+    are brought together, so that a task has sums of few nodes.
+    """
+    tasks = lambda n: max(int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // most))
+
+    def summed(of, then, wanted: frozenset) -> dict[int, bytes]:
+        """What `then` makes of each wanted leaf's sum of `of` over its vectors."""
+
+        def part(batches):
+            total: dict = {}
+            for batch in batches:
+                x = _rows(batch)
+                leaf = tree.leaf(x)
+                for k in wanted.intersection(np.unique(leaf).tolist()):
+                    total[k] = total.get(k, 0) + of(k, x[leaf == k])
+            for k, v in total.items():
+                yield pa.RecordBatch.from_pydict({"leaf": pa.array([k], pa.int32()), "data": pa.array([v.astype(np.float64).tobytes()])})
+
+        def whole(batches):
+            total: dict = {}
+            for batch in batches:
+                for k, v in zip(batch.column("leaf").to_pylist(), batch.column("data").to_pylist()):
+                    total[k] = total.get(k, 0) + np.frombuffer(v)
+            for k, v in total.items():
+                yield pa.RecordBatch.from_pydict({"leaf": pa.array([k], pa.int32()), "data": pa.array([then(v).tobytes()])})
+
+        return dict(vectors.mapInArrow(part, "leaf int, data binary").repartition(min(len(wanted), tasks(0)), "leaf").mapInArrow(whole, "leaf int, data binary").collect())
+
+    def subtrees(wanted: dict[int, int]) -> dict[int, bytes]:
+        def mark(batches):
+            for batch in batches:
+                leaf = tree.leaf(_rows(batch)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(leaf), batch.column("x")], names=["leaf", "x"]).filter(pa.array(np.isin(leaf, list(wanted))))
+
+        def whole(batches):
+            own, held = None, []
+            for batch in batches:
+                leaf, x = batch.column("leaf").to_numpy(), _rows(batch)
+                starts = [0, *(np.flatnonzero(leaf[1:] != leaf[:-1]) + 1).tolist(), len(leaf)]
+                for lo, hi in zip(starts[:-1], starts[1:] if len(leaf) else ()):
+                    if leaf[lo] != own and held:
+                        yield done(own, held)
+                        held = []
+                    own = int(leaf[lo])
+                    held.append(x[lo:hi])
+            if held:
+                yield done(own, held)
+
+        def done(leaf: int, held: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"leaf": pa.array([leaf], pa.int32()), "data": pa.array([pickle.dumps(_grow(np.concatenate(held), wanted[leaf]))])})
+
+        return dict(vectors.mapInArrow(mark, "leaf int, x binary").repartition(min(len(wanted), tasks(count)), "leaf").sortWithinPartitions("leaf").mapInArrow(whole, "leaf int, data binary").collect())
+
+    tree.set(None)
+    root: list = [None]
+    open_ = [(root, 0, count, leaves)]  # (parent, place in it, vectors, leaves) of every leaf as yet
+    stuck: set[int] = set()  # places of leaves that can't be cut
+    level = 0
+    while large := [k for k, (_, _, n, l) in enumerate(open_) if n > most and l > 1 and k not in stuck]:
+        axes = {k: np.frombuffer(v, np.int16) for k, v in summed(lambda k, x: _moments(x), _axis, frozenset(large)).items()}
+        cuts = {k: np.frombuffer(v, np.int64).tolist() for k, v in summed(lambda k, x: np.bincount(_bins(x, axes[k]), minlength=BINS), _cut, frozenset(large)).items()}
+        following, held = [], set()
+        for k, (parent, place, n, l) in enumerate(open_):
+            bound, lower, upper = cuts.get(k, (0, 0, 0))
+            if lower and upper:
+                parent[place] = node = [axes[k], bound, None, None]
+                following += [(node, 2, lower, l // 2), (node, 3, upper, l - l // 2)]
+            else:
+                if k in stuck or k in cuts:
+                    held.add(len(following))
+                following.append((parent, place, n, l))
+        open_, stuck, level = following, held, level + 1
+        tree.set(root[0])
+        if level % DEAL == 0:
+            vectors = written(_dealt_rows(tree, vectors, tasks(count)), "vectors")
+    small = {k: l for k, (_, _, n, l) in enumerate(open_) if l > 1 and n > LEAF and k not in stuck}
+    if small:
+        for k, data in subtrees(small).items():
+            parent, place, _, _ = open_[k]
+            parent[place] = pickle.loads(data)
+    tree.set(root[0])
+
+
+def _dealt_rows(tree: Tree, vectors: DataFrame, tasks: int) -> DataFrame:
+    """The vectors in order of their leaves; those of a large leaf are dealt to several tasks."""
+
+    def mark(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(tree.leaf(_rows(batch)).astype(np.int32)), batch.column("x"), batch.column("bytes")], names=["leaf", "x", "bytes"])
+
+    return vectors.mapInArrow(mark, "leaf int, x binary, bytes long").repartitionByRange(tasks, "leaf", "x").drop("leaf")
+
+
 def dealt(sizes: dict[int, int], shard_bytes: int) -> list[tuple[int, int, int]]:
     """(leaf, first shard, shards) of leaves and their bytes: small neighbours share a shard, large ones are cut."""
     out, shard, used = [], 0, 0
@@ -258,28 +421,33 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     leaves = 2 * -(-size // shard_bytes)
     tree = None
 
-    def sampled(batches):
-        enc = encoder(tokenizer)
-        for batch in batches:
-            ids = [x[:SAMPLE_IDS].tobytes() for x in enc.encode(batch.column("text").to_pylist(), end_id)]
-            yield pa.RecordBatch.from_pydict({"ids": pa.array(ids, pa.binary())})
-
-    if leaves > 2:
-        enc, scale = encoder(tokenizer), 1 << 40
-        bound = scale * min(SAMPLE, max(2_000, LEAF * leaves)) // count
-        some = docs.where(F.pmod("spread", F.lit(scale)) < bound).select("text").mapInArrow(sampled, "ids binary").toArrow()
-        tree = Tree(sorted((np.frombuffer(x, enc.dtype) for x in some["ids"].to_pylist()), key=lambda d: d.tobytes()), len(enc.ends), leaves)
-
     def encode(batches):
         enc = encoder(tokenizer)
         for batch in batches:
             for part in part_rows(batch, "text", ENCODE_BYTES):
                 ids = enc.encode(part.column("text").to_pylist(), end_id)
-                leaf = tree.leaf(ids) if tree else np.zeros(len(ids))
-                yield pa.RecordBatch.from_pydict({"leaf": pa.array(leaf.astype(np.int32)), "spread": part.column("spread"), "bytes": part.column("bytes"), "id": part.column("id"), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"spread": part.column("spread"), "bytes": part.column("bytes"), "id": part.column("id"), "ids": pa.array([x.tobytes() for x in ids], pa.binary())})
                 del ids, part
         tidy()
 
+    def placed(batches):
+        dtype = encoder(tokenizer).dtype
+        for batch in batches:
+            x = tree.vectors(_id_arrays(batch, dtype))
+            yield pa.RecordBatch.from_pydict({"x": pa.array([v.tobytes() for v in x], pa.binary()), "bytes": batch.column("bytes")})
+            tidy()
+
+    def leaf_sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"leaf": pa.array(tree.leaf(_rows(batch)).astype(np.int32)), "bytes": batch.column("bytes")})
+
+    def to_leaves(batches):
+        dtype = encoder(tokenizer).dtype
+        for batch in batches:
+            leaf = tree.leaf(tree.vectors(_id_arrays(batch, dtype))).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(leaf), *map(batch.column, ("spread", "id", "ids"))], names=["leaf", "spread", "id", "ids"])
+            tidy()
+
     def shard_pieces(shard: int, keys: list, docs: list[np.ndarray]):
         pieces = fill(docs, length)
         for lo in range(0, len(pieces), 20_000):
@@ -311,11 +479,16 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         tidy()
 
     schema = "id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids binary" * with_ids
-    coded = docs.mapInArrow(encode, "leaf int, spread long, bytes long, id long, ids binary")
-    if tree:
-        coded = written(coded, "packing")
-        sizes = dict(coded.groupBy("leaf").agg(F.sum("bytes")).collect())
+    coded = docs.mapInArrow(encode, "spread long, bytes long, id long, ids binary")
+    # twice as many leaves as shards, so that merged ones fill them
+    if (leaves := 2 * -(-size // shard_bytes)) > 2:
+        coded, enc = written(coded, "packing"), encoder(tokenizer)
+        tree = Tree(document_frequencies(coded, enc.dtype, len(enc.ends)), count)
+        vectors = written(coded.select("ids", "bytes").mapInArrow(placed, "x binary, bytes long"), "vectors")
+        grow(tree, vectors, count, leaves, NODE)
+        sizes = dict(vectors.mapInArrow(leaf_sizes, "leaf int, bytes long").groupBy("leaf").agg(F.sum("bytes")).collect())
         places = documents.sparkSession.createDataFrame(dealt(sizes, shard_bytes), "leaf int, first long, parts long")
+        coded = coded.select("spread", "id", "ids").mapInArrow(to_leaves, "leaf int, spread long, id long, ids binary")
         coded = coded.join(F.broadcast(places), "leaf").withColumn("shard", F.col("first") + F.pmod("spread", "parts"))
     else:
         coded = coded.withColumn("shard", F.lit(0).cast("long"))

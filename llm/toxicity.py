@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_filter, in_filter, joined, mix, part_rows, replaced, steps, swept, texts, tidy, written
+from .common import PLAIN_ROWS, id_filter, in_filter, joined, mix, part_rows, replaced, steps, swept, texts, tidy, written
 from .near_dedup import shingle_sets
 
 #: Letters from which one edit is allowed.
@@ -255,10 +255,17 @@ class Model:
 
 
 def _labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
-    """The documents that have a label, with it; only those that a filter of the labelled ids lets through are shuffled."""
+    """The documents that have a label, with it.
+
+    Up to PLAIN_ROWS labels (rows of two numbers) are broadcast; with more, documents that a filter of their ids lets
+    through are shuffled.
+    """
     # as text, an id is the same whatever its type
     key = F.xxhash64(F.col("doc_id").cast("string"))
     marks = written(marks.withColumn("id", key), "marks")
+    n = marks.count()
+    if n <= PLAIN_ROWS:
+        return docs.join(F.broadcast(marks.drop("id")), "doc_id")
     cells = docs.sparkSession.sparkContext.broadcast(id_filter(marks.select("id")))
 
     def run(batches):
@@ -268,7 +275,7 @@ def _labelled(docs: DataFrame, marks: DataFrame) -> DataFrame:
 
     docs = docs.withColumn("id", key)
     docs = docs.mapInArrow(run, docs.schema)
-    return joined(docs.drop("id"), marks.drop("id"), ["doc_id"], count=marks.count())
+    return joined(docs.drop("id"), marks.drop("id"), ["doc_id"], count=n)
 
 
 @swept

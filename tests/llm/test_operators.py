@@ -125,6 +125,27 @@ def test_packing_deals_neighbours_to_one_shard(spark):
     assert p[p.doc_id >= 1000].shard.nunique() > 1
 
 
+def test_packing_tree_is_that_of_all_documents(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    docs = [r.integers(40 * (i % 9), 40 * (i % 9) + 60, 30).astype("<u2") for i in range(3000)] + [np.arange(5, dtype="<u2")] * 900
+    coded = spark.createDataFrame([(d.tobytes(), 1) for d in docs], "ids binary, bytes long").repartition(5)
+    df = packing.document_frequencies(coded, np.dtype("<u2"), 500)
+    assert df.tolist() == np.bincount(np.concatenate([np.unique(d) for d in docs]), minlength=500).tolist()
+    tree = packing.Tree(df, len(docs))
+    x = tree.vectors(docs)
+    vectors, made = spark.createDataFrame([(v.tobytes(), 1) for v in x], "x binary, bytes long").repartition(5), []
+    monkeypatch.setattr(packing, "DEAL", 2)
+    for most in (10_000, 700, 100):  # by one task, by levels, and with dealing
+        packing.grow(tree, vectors, len(docs), 32, most)
+        made.append(tree.leaf(x))
+    alone = packing.Tree(df, len(docs))
+    alone.set(packing._grow(x, 32))
+    assert all((m == alone.leaf(x)).all() for m in made)
+    sizes = np.bincount(made[0])
+    # copies stay together, others are cut at middles
+    assert 9 <= len(sizes) <= 32 and len(set(made[0][3000:].tolist())) == 1 and np.sort(sizes)[-2] < 500
+
+
 def test_packing_scores_all_terms():
     r = np.random.default_rng(5)
     # a third are copies of one text, all of whose terms are frequent; one text is long
@@ -331,7 +352,10 @@ def test_toxicity_of_misspellings_and_quotations(spark):
     assert all(got[1000 + i] == 1 and got[2000 + i] == 0 for i in range(30))
 
 
-def test_toxicity_learns_from_all_labelled_documents(spark):
+@pytest.mark.parametrize("plain", [0, common.PLAIN_ROWS])
+def test_toxicity_learns_from_all_labelled_documents(spark, monkeypatch, plain):
+    monkeypatch.setattr(toxicity, "PLAIN_ROWS", plain)
+    monkeypatch.setattr(common, "PLAIN_ROWS", plain)
     r = random.Random(6)
     text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(9)) for _ in range(4))
     n = 26_000
