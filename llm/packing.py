@@ -419,7 +419,7 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     size, count = docs.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count(F.lit(1))).first()
     # twice as many leaves as shards, so that merged ones fill them
     leaves = 2 * -(-size // shard_bytes)
-    tree = None
+    tree = places = None
 
     def encode(batches):
         enc = encoder(tokenizer)
@@ -441,11 +441,12 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"leaf": pa.array(tree.leaf(_rows(batch)).astype(np.int32)), "bytes": batch.column("bytes")})
 
-    def to_leaves(batches):
+    def to_shards(batches):
         dtype = encoder(tokenizer).dtype
         for batch in batches:
-            leaf = tree.leaf(tree.vectors(_id_arrays(batch, dtype))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf), *map(batch.column, ("spread", "id", "ids"))], names=["leaf", "spread", "id", "ids"])
+            leaf = tree.leaf(tree.vectors(_id_arrays(batch, dtype)))
+            shard = places[leaf, 0] + batch.column("spread").to_numpy() % places[leaf, 1]
+            yield pa.RecordBatch.from_arrays([pa.array(shard), *map(batch.column, ("spread", "id", "ids"))], names=["shard", "spread", "id", "ids"])
             tidy()
 
     def shard_pieces(shard: int, keys: list, docs: list[np.ndarray]):
@@ -487,9 +488,10 @@ def pack(documents: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         vectors = written(coded.select("ids", "bytes").mapInArrow(placed, "x binary, bytes long"), "vectors")
         grow(tree, vectors, count, leaves, NODE)
         sizes = dict(vectors.mapInArrow(leaf_sizes, "leaf int, bytes long").groupBy("leaf").agg(F.sum("bytes")).collect())
-        places = documents.sparkSession.createDataFrame(dealt(sizes, shard_bytes), "leaf int, first long, parts long")
-        coded = coded.select("spread", "id", "ids").mapInArrow(to_leaves, "leaf int, spread long, id long, ids binary")
-        coded = coded.join(F.broadcast(places), "leaf").withColumn("shard", F.col("first") + F.pmod("spread", "parts"))
+        places = np.ones((tree.leaves, 2), np.int64)
+        for leaf, first, parts in dealt(sizes, shard_bytes):
+            places[leaf] = first, parts
+        coded = coded.select("spread", "id", "ids").mapInArrow(to_shards, "shard long, spread long, id long, ids binary")
     else:
         coded = coded.withColumn("shard", F.lit(0).cast("long"))
     tasks = max(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
