@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from llm import common, decontaminate, license_scan, near_dedup, nearest, packing, repair, secrets, toxicity, url_filter, warc
+from llm import common, decontaminate, license_scan, near_dedup, nearest, packing, repair, secrets, tokens, toxicity, url_filter, warc
 from llm.common import components
 from llm.tokens import Encoder, word_bpe_path
 
@@ -60,6 +60,22 @@ def test_encoder_cuts_closing_signs_as_the_library_does():
     assert [g.tolist() for g in got] == [Tokenizer.from_file(PATH).encode(t, add_special_tokens=False).ids for t in (text, text.upper())]
 
 
+def test_encoder_learns_a_word_once_whatever_signs_close_it():
+    encoder = Encoder(PATH)
+    encoder.encode(["Dust, dust. (dust) dust", "dust;\ndust?! x,dust"])
+    assert set(encoder.cache) == {"", "dust", ",", ".", "(dust", ")", ";", "?!", "x,dust"}
+
+
+def test_encoder_cuts_long_texts_at_spaces(monkeypatch):
+    whole = Tokenizer.from_file(PATH)
+    texts = ["", None, " ", ", a", "-- a, b.c! d\n\ne;\tf", "é, É. ß!! ﬁ? o\u0308, a\u0301. ΑΣ, Σa, İi, 文。 a…, 1, a1, it's, l'a.", "x<|endoftext|>, y <|startoftext|>.", "word, " * 40 + "z" * 90 + " end.", "<|, a|> a, ", "=\u0338 a=\u0338 a= \u0338"]
+    wanted = [[*whole.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    for step in (1, 7, 50, 1 << 20):
+        monkeypatch.setattr(tokens, "_STEP", step)
+        assert [g.tolist() for g in Encoder(PATH, cache_entries=5).encode(texts, 2)] == wanted
+    assert Encoder(PATH).encode([]) == [] and [g.tolist() for g in Encoder(PATH).encode(["", None])] == [[], []]
+
+
 def test_token_ids_round_trip(spark, docs, empty, rows, ids):
     got = {r["doc_id"]: r for r in repair.token_ids(docs, PATH).collect()}
     at = 0
